@@ -11,6 +11,7 @@ from dailybars.features.v3_price import V3
 from dailybars.features.v1_v2 import V1, V2
 from dailybars.functions.terms import Sheet
 from dailybars.plans.asof import spread_days
+from dailybars.plans.cut import written
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks, number_rows
 from dailybars.plans.kernels import add_kernels
 from dailybars.plans.runs import add_anchored_runs, add_jump_runs, fill_forward
@@ -114,9 +115,15 @@ def build_features(bars: DataFrame, names, feature_set: str = "v3", market: Data
     registry = SETS[feature_set]
     sheet = new_sheet(registry, market is not None, sectors is not None)
     outputs = {n: sheet.f(n) for n in names}
-    base = daily_base(bars, sheet.used_base, market, sector_bars, sectors, size, exact=feature_set != "v3")
+    used = set(sheet.used_base)
+    if used & {"run_vr", "run_gr"}:  # the regimes themselves are built on the same table
+        regimes = new_sheet(registry, market is not None)
+        for n in ("volatility_regime", "gain_regime"):
+            regimes.f(n)
+        used |= regimes.used_base
+    base = daily_base(bars, used, market, sector_bars, sectors, size, exact=feature_set != "v3")
     if sheet.used_base & {"run_vr", "run_gr"}:
-        base = add_regime_runs(base, bars, sheet.used_base, market, size)
+        base = add_regime_runs(base, sheet.used_base, market, size)
     return run_sheet(base, sheet, outputs, keep=("date", *carry), size=size)
 
 
@@ -162,20 +169,21 @@ def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLO
     return frame
 
 
-def add_regime_runs(base, bars, used, market, size):
-    """Lengths of the current volatility and gain regimes (columns run_vr, run_gr)."""
-    sheet = Sheet(V3)
-    outputs = {}
+def add_regime_runs(base, used, market, size):
+    """Lengths of the current volatility and gain regimes (columns run_vr, run_gr).
+
+    Runs may reach back over any number of blocks, so the two regime series are
+    written once and then scanned block by block.
+    """
+    outputs, sheet = {}, new_sheet(V3, market is not None)
     if "run_vr" in used:
         outputs["vr"] = sheet.f("volatility_regime")
     if "run_gr" in used:
         outputs["gr"] = sheet.f("gain_regime")
-    need = daily_base(bars, sheet.used_base, market, size=size)
-    regimes = run_sheet(need, sheet, outputs, size=size)
-    counted = regimes.join(base.select("ticker", "rn", "n_rows"), ["ticker", "rn"])
+    regimes = written(run_sheet(base, sheet, outputs, keep=("n_rows",), size=size), "regimes")
     if "run_vr" in used:
-        counted = add_jump_runs(counted, "vr", 0.1, "run_vr", size)
+        regimes = add_jump_runs(regimes, "vr", 0.1, "run_vr", size)
     if "run_gr" in used:
-        counted = add_anchored_runs(counted, "gr", 0.2, "run_gr", size)
-    runs = counted.select("ticker", "rn", *[c for c in ("run_vr", "run_gr") if c in used])
+        regimes = add_anchored_runs(regimes, "gr", 0.2, "run_gr", size)
+    runs = regimes.select("ticker", "rn", *[c for c in ("run_vr", "run_gr") if c in used])
     return base.join(runs, ["ticker", "rn"])

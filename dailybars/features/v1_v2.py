@@ -71,7 +71,7 @@ def market_distance(p):
 
 def market_slope_rank(p):
     """2 * share of the trailing 1260 slopes not above the current one - 1."""
-    s = p.keep(m200(p) / (p.lag(m200(p), 60) + EPS) - 1.0)
+    s = p.round(m200(p) / (p.lag(m200(p), 60) + EPS) - 1.0, 12)
     arr = p.values(s, -1259, 0)
     n = p.syntax.size(arr.sql)
     below = p.syntax.fold(arr.sql, "0e0", f"acc + case when v <= {s.sql} then 1e0 else 0e0 end")

@@ -204,14 +204,14 @@ def resting(p):
     mid, width = p.avg(p.C, 50), p.keep(p.max(p.H, 10) - p.min(p.L, 10))
     tight = width < p.avg(width, 50) * 0.7
     no_high, no_low = ~(p.H >= p.lag(p.max(p.H, 20))), ~(p.L <= p.lag(p.min(p.L, 20)))
-    return p.flag(((p.C > mid) & tight & no_high) | ((p.C < mid) & tight & no_low))
+    return p.flag((p.above(p.C, mid) & tight & no_high) | (p.above(mid, p.C) & tight & no_low))
 
 
 def exhausted(p):
     gap = p.keep(p.abs((p.C - p.avg(p.C, 50)) / p.avg(p.C, 50)))
     r = p.f("rsi14")
     return p.unit(p.flag(p.f("momentum_acceleration") < 0) * 0.3 + p.flag(p.f("relative_volume") < 0.8) * 0.25
-                  + p.flag((r > 70) | (r < 30)) * 0.25 + p.flag(gap > p.quantile(gap, 0.75, 252)) * 0.2)
+                  + p.flag((r > 70) | (r < 30)) * 0.25 + p.flag(p.above(gap, p.quantile(gap, 0.75, 252))) * 0.2)
 
 
 def trend_or_revert(p):
@@ -267,7 +267,7 @@ def slope_position(name):
 V3.block(
     "26.2 gain trend",
     gain_probability_trend=slope_position("gain_probability_score"),
-    gain_probability_consistency_rank=lambda p: p.rank_or_half(p.f("gain_consistency"), 252, 20),
+    gain_probability_consistency_rank=lambda p: p.rank_or_half(p.f("gain_consistency"), 252, 20, digits=9),
     gain_probability_volatility_adjusted=lambda p: p.f("gain_probability_score") / (guess(p) + EPS),
 )
 V3.block("26.3 distance rank", dist_support_rank=lambda p: p.rank_or_half(p.f("distance_to_support"), 252, 20))

@@ -16,8 +16,8 @@ def m200(p): return p.avg(p.M, 200)
 def mret(p, k): return p.pct(p.M, k)
 def mvol(p): return p.keep(p.std(p.M, 20) / p.M)
 def off50(p): return p.keep(p.abs(p.M - m50(p)))
-def bull(p): return (p.M > m50(p)) & (m50(p) > m200(p))
-def bear(p): return (p.M < m50(p)) & (m50(p) < m200(p))
+def bull(p): return p.above(p.M, m50(p)) & p.above(m50(p), m200(p))
+def bear(p): return p.above(m50(p), p.M) & p.above(m200(p), m50(p))
 
 
 def against_peak(p, x, size=None):
@@ -46,7 +46,7 @@ def choppy(p):
 
 
 def mood(p):
-    tilt = (p.flag(p.M > m50(p)) * 2.0 - 1.0) * 0.3
+    tilt = (p.flag(p.above(p.M, m50(p))) * 2.0 - 1.0) * 0.3
     return signed(p, mret(p, 20) * 10.0 + tilt + (p.f("regime_strength") - 0.5) * 0.2)
 
 
@@ -95,7 +95,7 @@ def unchanged_share(p, x, w):
 
 
 def direction(p):
-    return p.iff((p.M < m50(p)) & (mret(p, 20) < -0.005), 0.0, p.iff((p.M > m50(p)) & (mret(p, 20) > 0.005), 1.0, 0.5))
+    return p.iff(p.above(m50(p), p.M) & (mret(p, 20) < -0.005), 0.0, p.iff(p.above(p.M, m50(p)) & (mret(p, 20) > 0.005), 1.0, 0.5))
 
 
 def in_range(p):

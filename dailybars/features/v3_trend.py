@@ -119,8 +119,8 @@ V3.block(
     atr_ratio_252d=lambda p: p.atr(14) / (p.avg(p.atr(14), 252, 20) + EPS),
     volatility_percentile_20d=atr_rank(20, 5),
     volatility_percentile_252d=atr_rank(252, 20),
-    high_volatility_flag=lambda p: p.flag(p.atr(14) > p.quantile(p.atr(14), 0.75, 252, 20)),
-    low_volatility_flag=lambda p: p.flag(p.atr(14) < p.quantile(p.atr(14), 0.25, 252, 20)),
+    high_volatility_flag=lambda p: p.flag(p.above(p.atr(14), p.quantile(p.atr(14), 0.75, 252, 20))),
+    low_volatility_flag=lambda p: p.flag(p.above(p.quantile(p.atr(14), 0.25, 252, 20), p.atr(14))),
 )
 
 
@@ -192,7 +192,7 @@ def emas(p):
 
 def ordered(p, xs, up):
     a, b, c = xs
-    return ((a > b) & (b > c)) if up else ((a < b) & (b < c))
+    return (p.above(a, b) & p.above(b, c)) if up else (p.above(b, a) & p.above(c, b))
 
 
 V3.block(
@@ -200,7 +200,7 @@ V3.block(
     ema_alignment=lambda p: p.iff(ordered(p, emas(p), False), -1.0, p.iff(ordered(p, emas(p), True), 1.0, 0.0)),
     ma_crossover_bullish=lambda p: p.flag(ordered(p, averages(p), True)),
     ma_crossover_bearish=lambda p: p.flag(ordered(p, averages(p), False)),
-    price_vs_all_mas=lambda p: p.unit(sum((p.flag(p.C > m) for m in averages(p) + emas(p)), p.term(0.0)) / 6.0),
+    price_vs_all_mas=lambda p: p.unit(sum((p.flag(p.above(p.C, m)) for m in averages(p) + emas(p)), p.term(0.0)) / 6.0),
     sma_slope_20d=lambda p: p.diff(p.avg(p.C, 20), 10) / p.C,
     sma_slope_50d=lambda p: p.diff(p.avg(p.C, 50), 10) / p.C,
 )
@@ -212,7 +212,7 @@ V3.block(
 
 
 def side(p):
-    return p.keep(p.flag(p.C > p.avg(p.C, 50)))
+    return p.keep(p.flag(p.above(p.C, p.avg(p.C, 50))))
 
 
 def same_side(p):

@@ -257,9 +257,12 @@ class Sheet:
         head, tail = self.syntax.values(x.sql)
         return self.window(f"{head} {tail} {self.frame(lo, hi)}", [x], -lo)
 
-    def prank(self, x, w, m=1):
-        """Average rank of the current value within its window, as a share."""
-        x = self.keep(x)
+    def prank(self, x, w, m=1, digits=12):
+        """Average rank of the current value within its window, as a share.
+
+        Values are compared to ``digits`` decimals, so equal values tie whatever their last bits.
+        """
+        x = self.round(x, digits)
         arr = self.values(x, -(w - 1), 0)
         twice = self.syntax.fold(arr.sql, "0e0", f"acc + case when v < {x.sql} then 2e0 when v = {x.sql} then 1e0 else 0e0 end")
         size = self.syntax.size(arr.sql)
@@ -348,6 +351,15 @@ class Sheet:
 
     def flag(self, cond): return self.iff(cond, 1.0, 0.0)
 
+    def round(self, x, digits):
+        x = self.term(x)
+        return self.keep(self.join(f"round({x.sql}, {digits})", x))
+
+    def above(self, a, b):
+        """a > b by more than rounding, so that equal averages are not ordered by their last bit."""
+        a, b = self.term(a), self.term(b)
+        return (a - b) > 1e-12 * self.abs(b)
+
     def clip(self, x, lo=None, hi=None):
         x = self.keep(x)
         inner = x.sql if hi is None else f"least({literal(hi)}, {x.sql})"
@@ -394,8 +406,8 @@ class Sheet:
         lo, hi = self.min(x, w), self.max(x, w)
         return (x - lo) / ((hi - lo) + EPS)
 
-    def rank_or_half(self, x, w=252, m=1):
-        return self.unit(self.fill(self.prank(x, w, m), 0.5))
+    def rank_or_half(self, x, w=252, m=1, digits=12):
+        return self.unit(self.fill(self.prank(x, w, m, digits), 0.5))
 
     # ---- stages ---------------------------------------------------------
     def stages(self, outputs):
