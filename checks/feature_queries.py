@@ -8,6 +8,7 @@ from checks.duck_features import feature_sql
 from dailybars.features.build import build_features
 from dailybars.features.v1_v2 import V1, V2
 from dailybars.features.v3_price import V3
+from dailybars.features.windows import WINDOWS
 from dailybars.sources import fixture as fx
 
 # Features with quotients of nearly empty ranges: six decimals are too fine for their size.
@@ -36,11 +37,12 @@ def block_query(names, feature_set):
 
 
 def key_of(feature_set, block):
-    return f"{feature_set}_{re.sub('[^a-z0-9]+', '_', block)}"
+    name = re.sub("[^a-z0-9]+", "_", block)
+    return name if feature_set == "windows" else f"{feature_set}_{name}"
 
 
 def add(queries, sqls):
-    for fs, registry in (("v3", V3), ("v1", V1), ("v2", V2)):
+    for fs, registry in (("v3", V3), ("v1", V1), ("v2", V2), ("windows", WINDOWS)):
         for block, names in registry.blocks.items():
             key = key_of(fs, block)
             queries[key] = block_query(list(names), fs)

@@ -9,6 +9,7 @@ from dailybars.features.v3_market import WITHOUT_MARKET
 from dailybars.features.v3_periods import MONTHLY, WEEKLY
 from dailybars.features.v3_price import V3
 from dailybars.features.v1_v2 import V1, V2
+from dailybars.features.windows import WINDOWS
 from dailybars.functions.terms import Sheet
 from dailybars.plans.asof import spread_days
 from dailybars.plans.cut import written
@@ -17,7 +18,7 @@ from dailybars.plans.kernels import add_kernels
 from dailybars.plans.runs import add_anchored_runs, add_jump_runs, fill_forward
 from dailybars.plans.sheets import run_sheet
 
-SETS = {"v1": V1, "v2": V2, "v3": V3}
+SETS = {"v1": V1, "v2": V2, "v3": V3, "windows": WINDOWS}
 
 # Sector -> reference symbol, and the symbols used before two of them existed.
 SECTOR_SYMBOL = {
@@ -28,11 +29,11 @@ SECTOR_SYMBOL = {
 BEFORE_LAUNCH = {"XLC": ("2018-09-28", "XLK"), "XLRE": ("2015-10-07", "XLF")}
 
 
-def price_columns(bars: DataFrame) -> DataFrame:
-    """ticker, date, o, h, l, c, vol; c is the adjusted close where the table has one."""
+def price_columns(bars: DataFrame, raw: bool = False) -> DataFrame:
+    """ticker, date, o, h, l, c, vol; c is the adjusted close where the table has one. ``raw`` adds close and volume as given."""
     close = "adj_close" if "adj_close" in [c.lower() for c in bars.columns] else "close"
     return bars.select("ticker", "date", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"),
-                       F.col(close).alias("c"), F.col("volume").cast("double").alias("vol"))
+                       F.col(close).alias("c"), F.col("volume").cast("double").alias("vol"), *(["close", "volume"] if raw else []))
 
 
 def sector_symbols(bars: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -107,11 +108,8 @@ def add_series(frame: DataFrame, series: DataFrame, on: list[str], name: str) ->
 
 def build_features(bars: DataFrame, names, feature_set: str = "v3", market: DataFrame | None = None,
                    sector_bars: DataFrame | None = None, sectors: DataFrame | None = None,
-                   size: int = BLOCK_ROWS, carry=()) -> DataFrame:
-    """ticker, date, rn and the named features (doubles) for every bar.
-
-    ``carry`` lists numbered base columns (o, h, l, c, vol) to keep in the result.
-    """
+                   size: int = BLOCK_ROWS, prices: bool = False) -> DataFrame:
+    """ticker, date and the named features (doubles) for every bar, with the raw prices on request."""
     registry = SETS[feature_set]
     sheet = new_sheet(registry, market is not None, sectors is not None)
     outputs = {n: sheet.f(n) for n in names}
@@ -121,10 +119,12 @@ def build_features(bars: DataFrame, names, feature_set: str = "v3", market: Data
         for n in ("volatility_regime", "gain_regime"):
             regimes.f(n)
         used |= regimes.used_base
-    base = daily_base(bars, used, market, sector_bars, sectors, size, exact=feature_set != "v3")
+    base = daily_base(bars, used, market, sector_bars, sectors, size, exact=feature_set in ("v1", "v2"), prices=prices)
     if sheet.used_base & {"run_vr", "run_gr"}:
         base = add_regime_runs(base, sheet.used_base, market, size)
-    return run_sheet(base, sheet, outputs, keep=("date", *carry), size=size)
+    keep = ("date", "o", "h", "l", "close", "volume") if prices else ("date",)
+    made = run_sheet(base, sheet, outputs, keep=keep, size=size).drop("rn")
+    return made.withColumnsRenamed({"o": "open", "h": "high", "l": "low"})
 
 
 def new_sheet(registry, has_market=True, has_sectors=True, **kw) -> Sheet:
@@ -133,13 +133,13 @@ def new_sheet(registry, has_market=True, has_sectors=True, **kw) -> Sheet:
     return Sheet(registry, **kw)
 
 
-def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLOCK_ROWS, exact=False) -> DataFrame:
+def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLOCK_ROWS, exact=False, prices=False) -> DataFrame:
     """Numbered bars plus whatever the features read besides prices.
 
     ``exact`` joins the market on equal dates and fills forward over the
     ticker's own rows (sets v1 and v2) instead of as of each date (v3).
     """
-    frame = number_rows(price_columns(bars))
+    frame = number_rows(price_columns(bars, prices))
     if "obv" in used:
         frame = add_balance_volume(frame, size)
     frame = add_kernels(frame, {b for b in used if b.startswith("k_")})

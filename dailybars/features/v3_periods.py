@@ -23,6 +23,7 @@ WEEKLY.block(
     wk_adx=lambda w: w.base("k_adx14"),
     wk_stoch=lambda w: w.unit(w.fill(position(w, w.C, w.min(w.L, 14), w.max(w.H, 14)), 0.5)),
     wk_atr=lambda w: w.atr(14),
+    wk_close=lambda w: w.C,
 )
 MONTHLY = FeatureSet()
 MONTHLY.block(
@@ -30,6 +31,7 @@ MONTHLY.block(
     mo_sma3=lambda m: m.avg(m.C, 3),
     mo_sma6=lambda m: m.avg(m.C, 6),
     mo_rsi=lambda m: (m.rsi(14) - 50.0) / 50.0,
+    mo_close=lambda m: m.C,
     mo_sma3_step=lambda m: m.diff(m.avg(m.C, 3), 1),
 )
 

@@ -45,3 +45,28 @@ def sector_bars(spark: SparkSession, path: str) -> DataFrame:
 
 def sector_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(SECTORS.items()), "ticker string, sector string")
+
+
+def raw_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Bars as text with mixed-case headers and fixed defects by day of month.
+
+    13th: row twice; 17th: bad date; 5th: empty volume; 7th: zero volume;
+    9th: negative open; 11th: high is not a number; 1 to 20 March 1998 missing.
+    """
+    b = bars(spark, path).where("date not between date'1998-03-01' and date'1998-03-20'")
+    on = lambda d: F.day("date") == d
+    text = b.select(
+        "ticker", F.when(on(17), "no date").otherwise(F.col("date").cast("string")).alias("Date"),
+        F.when(on(9), -F.col("open")).otherwise(F.col("open")).cast("string").alias("Open"),
+        F.when(on(11), "n/a").otherwise(F.col("high").cast("string")).alias("High"), F.col("low").cast("string").alias("Low"),
+        F.col("close").cast("string").alias("CLOSE"),
+        F.when(on(5), "").when(on(7), "0").otherwise(F.col("volume").cast("string")).alias("Volume"),
+        F.when(on(13), 2).otherwise(1).alias("copies"))
+    return text.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+
+
+def splits(bars_df: DataFrame) -> DataFrame:
+    """Split coefficient 2 on one date of ECONOMY and 0.5 on one of SMALL, else 1."""
+    split = (F.when((F.col("ticker") == "ECONOMY") & (F.col("date") == "1998-06-01"), 2.0)
+             .when((F.col("ticker") == "SMALL") & (F.col("date") == "1999-03-01"), 0.5).otherwise(1.0))
+    return bars_df.withColumn("split_coefficient", split)
