@@ -61,9 +61,9 @@ def trades(signal, stop="constant", h=H, target=TARGET, where="true", name="trad
 {p}_hit as (select ticker, n, arg_min(bn, bn) as bn, arg_min(bdate, bn) as bdate, arg_min(reason, bn) as reason, arg_min(price, bn) as price
    from {p}_ev where reason is not null group by ticker, n),
 {p}_end as (select ticker, max(n) as ln, arg_max(date, n) as ld, arg_max(close, n) as lc from {p}_src group by ticker),
-{p}_ex as (select a.*, coalesce(bn, ln) as exit_n, coalesce(bdate, ld) as exit_date, coalesce(reason, 'end_of_data') as exit_reason, coalesce(price, lc) as exit_price
+{p}_ex as materialized (select a.*, coalesce(bn, ln) as exit_n, coalesce(bdate, ld) as exit_date, coalesce(reason, 'end_of_data') as exit_reason, coalesce(price, lc) as exit_price
    from {p}_cand a join {p}_end using (ticker) left join {p}_hit using (ticker, n)),
-{p}_nx as (select a.ticker, a.n, min(b.n) as nn from {p}_ex a left join {p}_ex b on b.ticker = a.ticker and b.n > a.exit_n group by a.ticker, a.n),
+{p}_nx as materialized (select a.ticker, a.n, min(b.n) as nn from {p}_ex a left join {p}_ex b on b.ticker = a.ticker and b.n > a.exit_n group by a.ticker, a.n),
 {p}_sel as (select ticker, min(n) as n from {p}_ex group by ticker union all
    select s.ticker, x.nn from {p}_sel s join {p}_nx x on x.ticker = s.ticker and x.n = s.n where x.nn is not null),
 {p}_all as (select ticker, entry_date, entry_price, exit_date, exit_price, exit_price / entry_price - 1e0 as "return", (exit_price / entry_price - 1e0) * 1000e0 as pnl,
@@ -81,8 +81,8 @@ def metrics(source="trades", group=None):
     key = group or "1"
     return f"""(with eq as (select *, sum(pnl) over ({part}order by {ENTRY_ORDER} rows unbounded preceding) as e from {source}),
 dd as (select *, max(e) over ({part}order by {ENTRY_ORDER} rows unbounded preceding) - e as drawdown from eq),
-ev as (select {g}ticker, entry_date, entry_date as at, 1 as step, 0 as kind from {source} union all select {g}ticker, entry_date, exit_date, -1, 1 from {source}),
-op as (select {g}sum(step) over ({part}order by at, ticker, entry_date, kind rows unbounded preceding) as open_now from ev),
+ev as (select {g}ticker, entry_date, entry_date as happened, 1 as step, 0 as kind from {source} union all select {g}ticker, entry_date, exit_date, -1, 1 from {source}),
+op as (select {g}sum(step) over ({part}order by happened, ticker, entry_date, kind rows unbounded preceding) as open_now from ev),
 mx as (select {g}max(open_now) as mc from op {f'group by {group}' if group else ''}),
 ag as (select {g}count(*) as n_trades, avg(cast("return" > 0 as integer)) as win_rate, avg("return") as avg_return, sum(pnl) as total_pnl, avg(pnl) as avg_pnl,
   max(drawdown) as max_drawdown, stddev_samp("return") as sd, avg(holding_days) as avg_holding_days,

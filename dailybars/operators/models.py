@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dailybars.operators.scoring import class_weight
+from dailybars.plans.ordered import with_totals
 
 # The defaults of the boosted model.
 TREES, DEPTH, RATE = 300, 5, 0.05
@@ -40,8 +41,9 @@ def logistic_baseline(train: DataFrame, features, label: str):
 
 def boosted(train: DataFrame, features, label: str, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, seed: int = 42, **params):
     """Boosted trees that stop early on the validation rows (column ``is_validation``)."""
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
-                        validationIndicatorCol="is_validation" if "is_validation" in train.columns else None, **params)
+    if "is_validation" in train.columns:
+        params["validationIndicatorCol"] = "is_validation"
+    gbt = GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, **params)
     return Pipeline(stages=[assembler(features), gbt]).fit(train)
 
 
@@ -83,7 +85,6 @@ def random_search(train: DataFrame, features, label: str, n_iter: int = 20, fold
 
 def shuffled(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
     """One column permuted over all rows: row k of one random order gets the value of row k of another."""
-    from dailybars.plans.ordered import with_totals
     keys = ["ticker", "date"]
     order = lambda s: F.xxhash64(*keys, F.lit(s)).alias("order")
     rows = with_totals(df.drop(column).withColumn("order", order(seed)), ["order", *keys]).drop("n_rows", "order")

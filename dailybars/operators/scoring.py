@@ -72,9 +72,9 @@ def majority_baseline(df: DataFrame, label: str) -> DataFrame:
 def score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative positives and rows from the highest score down, one row per distinct score."""
     by_score = scored.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("rows"))
+        F.sum(F.col(label).cast("double")).alias("hits"), F.count(F.lit(1)).cast("double").alias("rows"))
     by_score = by_score.withColumn("down", -F.col("threshold"))
-    return with_totals(by_score, ["down"], sums=[("tp", "pos"), ("flagged", "rows")])
+    return with_totals(by_score, ["down"], sums=[("tp", "hits"), ("flagged", "rows")])
 
 
 def precision_recall(scored: DataFrame, label: str, score: str) -> DataFrame:
@@ -84,7 +84,7 @@ def precision_recall(scored: DataFrame, label: str, score: str) -> DataFrame:
     p, r = F.col("tp") / F.col("flagged"), F.coalesce(F.try_divide(F.col("tp"), F.col("positives")), F.lit(0.0))
     curve = counts.crossJoin(F.broadcast(total)).withColumn("precision", p).withColumn("recall", r)
     f1 = 2 * (F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall") + 1e-10)
-    return curve.withColumn("f1", f1).select("threshold", "tp", "flagged", "positives", "total", "pos", "rows", "precision", "recall", "f1")
+    return curve.withColumn("f1", f1).select("threshold", "tp", "flagged", "positives", "total", "hits", "rows", "precision", "recall", "f1")
 
 
 def find_threshold(scored: DataFrame, label: str, score: str, target_precision=None, target_recall=None, best="f1") -> DataFrame:
@@ -143,10 +143,10 @@ def evaluate(scored: DataFrame, label: str, score: str, threshold: float = 0.5)
     """AUC, average precision and the confusion-based measures of a score."""
     curve = precision_recall(scored, label, score)
     fp, neg = F.col("flagged") - F.col("tp"), F.col("total") - F.col("positives")
-    before_tp, step_neg = F.col("tp") - F.col("pos"), F.col("rows") - F.col("pos")
+    before_tp, step_neg = F.col("tp") - F.col("hits"), F.col("rows") - F.col("hits")
     ranked = curve.agg(
         F.sum(F.try_divide(step_neg * (F.col("tp") + before_tp) / 2, F.col("positives") * neg)).alias("roc_auc"),
-        F.sum(F.col("precision") * F.try_divide(F.col("pos"), F.col("positives"))).alias("average_precision"))
+        F.sum(F.col("precision") * F.try_divide(F.col("hits"), F.col("positives"))).alias("average_precision"))
     c = scored.agg(*outcome_counts(F.col(score) >= threshold, label))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     return c.crossJoin(ranked).select(

@@ -2,13 +2,17 @@
 
 Rows are range-partitioned by the ordering keys into equal segments (a single
 hot key splits as well, because the keys are unique together), each segment is
-scanned on its own, and only one row per segment is combined in order.
+scanned on its own, and only one row per segment is combined in order.  The
+scanned segments are written once: range bounds are sampled anew by every run of
+an exchange, so both users of the segments must read the same ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from dailybars.plans.cut import written
+
 
 def segments(df: DataFrame, keys, group=()) -> DataFrame:
     """Add ``seg``: a number that grows along the order of ``group`` + ``keys``."""
@@ -31,6 +35,7 @@ def with_totals(df: DataFrame, keys, group=(), sums=(), highs=()) -> DataFrame:
         seg = seg.withColumn(name, F.sum(column).over(upto))
     for name, total in highs:
         seg = seg.withColumn(name, F.max(total).over(upto))
+    seg = written(seg, "segments")
     parts = seg.groupBy(*group, "seg").agg(
         F.count(F.lit(1)).alias("p_n"),
         *[F.max_by(name, "pos").alias(f"p_{name}") for name, _ in sums],
