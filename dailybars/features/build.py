@@ -81,7 +81,8 @@ def resample(frame: DataFrame, label, step: str) -> DataFrame:
 def _periods(frame, label, visible, step, registry, names, size):
     sheet = Sheet(registry)
     outputs = {n: sheet.f(n) for n in sorted(names)}
-    periods = number_rows(resample(frame, label, step))
+    plain = frame.select("ticker", "date", "h", "l", "c", "vol")
+    periods = number_rows(written(resample(plain, label, step), step))
     periods = add_kernels(periods, {b for b in sheet.used_base if b.startswith("k_")})
     made = run_sheet(periods, sheet, outputs, size=size).drop("rn").withColumnRenamed("date", "period")
     return frame.withColumn("period", visible).join(made, ["ticker", "period"], "left").drop("period")
@@ -140,14 +141,15 @@ def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLO
     ticker's own rows (sets v1 and v2) instead of as of each date (v3).
     """
     frame = number_rows(price_columns(bars, prices))
-    if "obv" in used:
-        frame = add_balance_volume(frame, size)
-    frame = add_kernels(frame, {b for b in used if b.startswith("k_")})
-    weekly, monthly = {b for b in used if b.startswith("wk_")}, {b for b in used if b.startswith("mo_")}
+    kernels, weekly, monthly = ({b for b in used if b.startswith(kind)} for kind in ("k_", "wk_", "mo_"))
+    if weekly or monthly or "obv" in used or used & {"run_vr", "run_gr"}:
+        frame = written(frame, "numbered")  # read by several branches below
     if weekly:
         frame = _periods(frame, week_label(), last_friday(), "week", WEEKLY, weekly, size)
     if monthly:
         frame = _periods(frame, F.last_day("date"), last_month_end(), "month", MONTHLY, monthly, size)
+    if "obv" in used:
+        frame = add_balance_volume(frame, size)
     if ("m" in used or "s" in used) and market is not None:
         if exact:
             frame = frame.join(market.select("date", F.col("close").alias("m")), "date", "left")
@@ -166,7 +168,7 @@ def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLO
             fallback = F.col("m") if market is not None else F.lit(None).cast("double")
             frame = (frame.join(known, "symbol", "left")
                      .withColumn("s", F.when(F.col("known"), F.col("s")).otherwise(fallback)).drop("symbol", "known"))
-    return frame
+    return add_kernels(frame, kernels)
 
 
 def add_regime_runs(base, used, market, size):
