@@ -109,11 +109,15 @@ def add_series(frame: DataFrame, series: DataFrame, on: list[str], name: str) ->
 
 def build_features(bars: DataFrame, names, feature_set: str = "v3", market: DataFrame | None = None,
                    sector_bars: DataFrame | None = None, sectors: DataFrame | None = None,
-                   size: int = BLOCK_ROWS, prices: bool = False) -> DataFrame:
-    """ticker, date and the named features (doubles) for every bar, with the raw prices on request."""
+                   size: int = BLOCK_ROWS, prices: bool = False, issues: list | None = None) -> DataFrame:
+    """ticker, date and the named features (doubles) for every bar, with the raw prices on request.
+
+    With a list in ``issues``, a feature whose definition fails becomes an all-null
+    column and is reported there as (name, error) instead of stopping the build.
+    """
     registry = SETS[feature_set]
     sheet = new_sheet(registry, market is not None, sectors is not None)
-    outputs = {n: sheet.f(n) for n in names}
+    outputs = {n: defined(sheet, n, issues) for n in names}
     used = set(sheet.used_base)
     if used & {"run_vr", "run_gr"}:  # the regimes themselves are built on the same table
         regimes = new_sheet(registry, market is not None)
@@ -128,6 +132,16 @@ def build_features(bars: DataFrame, names, feature_set: str = "v3", market: Data
     return made.withColumnsRenamed({"o": "open", "h": "high", "l": "low"})
 
 
+def defined(sheet: Sheet, name: str, issues: list | None):
+    if issues is None:
+        return sheet.f(name)
+    try:
+        return sheet.f(name)
+    except Exception as error:
+        issues.append((name, f"{type(error).__name__}: {error}"))
+        return sheet.term(None)
+
+
 def new_sheet(registry, has_market=True, has_sectors=True, **kw) -> Sheet:
     if not has_market:
         registry = {**registry, **{n: (lambda p, v=v: p.term(v)) for n, v in WITHOUT_MARKET.items() if n in registry}}

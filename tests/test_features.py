@@ -162,3 +162,10 @@ def test_adjusted_close_is_preferred(walk):
     out = build_features(walk[1].withColumn("adj_close", F.col("close") / 2), ["price", "bid_ask_spread_proxy"])
     row = out.join(walk[1], ["ticker", "date"]).where("price <> close / 2").count()
     assert row == 0
+
+
+def test_a_failing_feature_becomes_null(walk, monkeypatch):
+    monkeypatch.setitem(V3, "broken", lambda p: p.no_such_thing)
+    issues = []
+    out = build_features(walk[1], ["broken", "price"], issues=issues)
+    assert [n for n, _ in issues] == ["broken"] and out.where("broken is not null or price is null").count() == 0
