@@ -90,9 +90,6 @@ class SparkSyntax:
     def fold(self, array, start, body):
         return f"aggregate({array}, {start}, (acc, v) -> {body})"
 
-    def count_if(self, array, cond):
-        return f"cast(size(filter({array}, v -> {cond})) as double)"
-
     def size(self, array): return f"cast(size({array}) as double)"
     def pair(self, a, b): return f"named_struct('p', {a}, 'v', {b})"
     def sorted(self, array): return f"sort_array({array})"

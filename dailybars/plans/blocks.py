@@ -47,6 +47,3 @@ def into_blocks(df: DataFrame, back: int, ahead: int = 0, size: int = BLOCK_ROWS
     return (df.withColumn("blk", F.explode(F.sequence(first, last)))
               .withColumn("own", F.col("blk") == block_of(at)))
 
-
-def block_window(*extra: str):
-    return W.partitionBy("ticker", "blk").orderBy("rn", *extra)
