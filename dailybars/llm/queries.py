@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import context_tree
+from dailybars.llm import context_tree, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op1_context_tree(spark, sf_dir):
     return context_tree.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree,)}
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup)}
 SQL: dict[str, str] = {}
