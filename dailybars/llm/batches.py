@@ -132,3 +132,25 @@ def grams(hashes: np.ndarray, doc: np.ndarray, k: int, short: bool = False) -> t
             here = np.minimum(place + i, n - 1)
             out = np.where(i < take, mix(out * np.uint64(3) ^ hashes[here], i + 1), out)
     return out[keep], doc[keep], (place - first)[keep]
+
+
+def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each ``block`` of a batch as one compressed Arrow stream: a dense form to shuffle texts in."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in tables:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = pa.Table.from_batches([batch]).drop_columns(["block"]).take(pa.array(order))
+        ids, first = np.unique(block[order], return_index=True)
+        packed = []
+        for i, j in zip(first, [*first[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows.slice(i, j - i).combine_chunks())
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    """The rows that ``pack`` put together for one block."""
+    return pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["packed"])

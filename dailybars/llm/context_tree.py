@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dailybars.llm import batches
-from dailybars.plans.cut import written
+from dailybars.plans.cut import bucketed, written
 
 DEPTH = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 GROUP_STRINGS = 250_000
 END = 0x0A
 WORD = np.uint64(1 << 63)
@@ -91,6 +91,8 @@ def _ask(depth):
     powers = batches.Powers()
 
     def ask(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        table = batches.unpack(table)
         train = ~table["held_out"].to_numpy()
         found = []
         for row, n, strings, named in _keys(table["text"], depth, powers):
@@ -98,7 +100,7 @@ def _ask(depth):
             for keys, of in (strings, named):
                 found.append(_sum_by(keys, learn[of]))
         keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*found)))
-        return pa.table({"block": np.full(len(keys), table["block"][0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts})
+        return pa.table({"block": np.full(len(keys), block, np.int32), "key": keys.view(np.int64), "n": counts})
 
     return ask
 
@@ -211,19 +213,20 @@ def _answer(depth, upper):
                 p = np.where(seen, share * here + (1 - share) * p, here)
                 seen = n0 + n1 > 0
             score += np.log10(p)
-        return pa.table({"key": keys.view(np.int64), "n": table["n"], "score": score})
+        return pa.table({"key": keys.view(np.int64), "value": score.astype(np.float32).astype(float)})  # half the bits, to shuffle less
 
     return answer
 
 
-def _apply(depth):
-    """Scores of a block's documents from the answers to its keys."""
+def _apply(depth, tokens):
+    """Scores of a block's documents from the answers to its keys: log10 probabilities of strings, counts of words."""
     powers = batches.Powers()
 
     def apply(docs: pa.Table, known: pa.Table) -> pa.Table:
+        docs = batches.unpack(docs)
         keys = known["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, value, seen = keys[order], known["score"].to_numpy()[order], known["n"].to_numpy()[order] > 0
+        keys, value = keys[order], known["value"].to_numpy()[order]
         out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
         for row, n, (strings, of), (named, named_of) in _keys(docs["text"], depth, powers):
             room = np.uint64(64 - 8 * (depth + 1))
@@ -234,8 +237,8 @@ def _apply(depth):
             out["score"].append(np.bincount((hit & np.uint64((1 << int(room)) - 1)).astype(np.int64), weights=value[at] * times, minlength=n))
             at = np.searchsorted(keys, named)
             out["n_tokens"].append(np.bincount(named_of, minlength=n))
-            out["n_known"].append(np.bincount(named_of, weights=seen[at], minlength=n).astype(np.int64))
-            out["base_score"].append(np.bincount(named_of, weights=value[at], minlength=n))
+            out["n_known"].append(np.bincount(named_of, weights=value[at] > 0, minlength=n))
+            out["base_score"].append(np.bincount(named_of, weights=np.log10((value[at] + 0.1) / tokens), minlength=n))
         whole = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": whole["n_tokens"].astype(np.int64), "n_known": whole["n_known"].astype(np.int64), "base_score": whole["base_score"], "score": whole["score"]})
 
@@ -252,8 +255,9 @@ def score(docs: DataFrame, depth: int = DEPTH, fold: int = 10, block_bytes: int
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, -(-size // block_bytes))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % fold == 0
-    dealt = docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    asked = written(dealt.groupBy("block").applyInArrow(_ask(depth), "block int, key long, n long"), "ctw-asked")
+    dealt = (docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+             .mapInArrow(batches.pack, "block int, packed binary"))
+    asked = bucketed(dealt.groupBy("block").applyInArrow(_ask(depth), "block int, key long, n long"), "key", "ctw_asked")
     totals = asked.groupBy("key").agg(F.sum("n").alias("n"))
     strings = written(totals.filter("key >= 0"), "ctw-strings")
     groups = max(1, strings.count() // GROUP_STRINGS)
@@ -263,9 +267,8 @@ def score(docs: DataFrame, depth: int = DEPTH, fold: int = 10, block_bytes: int
                    .groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).collect())  # at most 256 * 255 rows
     word = named.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n, v = word["n"] or 0, word["v"]
-    model = strings.groupBy("under").applyInArrow(_answer(depth, upper), "key long, n long, score double").unionByName(
-        named.withColumn("score", F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1)))))
-    known = asked.select("block", "key").join(model, "key")
+    model = strings.groupBy("under").applyInArrow(_answer(depth, upper), "key long, value double").unionByName(named.select("key", F.col("n").cast("double").alias("value")))
+    known = asked.select("block", "key").join(model, "key").select("block", "key", "value")
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _apply(depth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        _apply(depth, n + 0.1 * (v + 1)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
