@@ -31,7 +31,8 @@ from dailybars.llm import batches
 from dailybars.plans.cut import bucketed, written
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 GROUP_STRINGS = 250_000
 END = 0x0A
 WORD = np.uint64(1 << 63)
@@ -70,7 +71,7 @@ def _strings(out, begin, depth):
 def _keys(text, depth, powers):
     """Per slice: first row, rows, (key, row) of all strings and all words, the end included."""
     body, offsets = batches.utf8(text)
-    for row, until, part, edges in batches.slices(body, offsets, rows=1 << 16):
+    for row, until, part, edges in batches.slices(body, offsets, SLICE_BYTES, 1 << 16):
         out, begin, low, start, end, doc = _stream(part, edges)
         strings = _strings(out, begin, depth)
         of = np.repeat(np.arange(until - row), np.diff(begin))
@@ -81,7 +82,7 @@ def _keys(text, depth, powers):
 
 def _sum_by(keys, weights):
     order = np.argsort(keys)
-    keys, weights = keys[order], weights[order]
+    keys, weights = keys[order], weights[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights
 
@@ -96,9 +97,11 @@ def _ask(depth):
         train = ~table["held_out"].to_numpy()
         found = []
         for row, n, strings, named in _keys(table["text"], depth, powers):
-            learn = train[row:row + n].astype(np.int64)
+            learn = train[row:row + n]
             for keys, of in (strings, named):
                 found.append(_sum_by(keys, learn[of]))
+            if len(found) >= 16:
+                found = [_sum_by(*(np.concatenate(x) for x in zip(*found)))]
         keys, counts = _sum_by(*(np.concatenate(x) for x in zip(*found)))
         return pa.table({"block": np.full(len(keys), block, np.int32), "key": keys.view(np.int64), "n": counts})
 
