@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import context_tree, suffix_dedup
+from dailybars.llm import context_tree, subword_bag, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup)}
+def op3_subword_toxicity(spark, sf_dir):
+    return subword_bag.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup, op3_subword_toxicity)}
 SQL: dict[str, str] = {}
