@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import context_tree, subword_bag, suffix_dedup
+from dailybars.llm import context_tree, source_mix, subword_bag, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,9 @@ def op3_subword_toxicity(spark, sf_dir):
     return subword_bag.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup, op3_subword_toxicity)}
-SQL: dict[str, str] = {}
+def op4_source_mix(spark, sf_dir):
+    return source_mix.mix_sources(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix)}
+SQL = {"op4_source_mix": source_mix.SQL}

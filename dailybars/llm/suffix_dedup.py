@@ -13,7 +13,8 @@ An anchor with more than ``SHARED`` different segments (the edge of a passage
 that very many documents quote) is not gathered in one shard: its strings are
 counted one by one by a 128-bit hash, with partial sums before the shuffle.
 
-Defined results: null texts are empty; texts shorter than ``length`` lose nothing;
+Defined results: null texts are empty; texts shorter than ``length`` lose nothing
+(``length`` is at least ``PART``);
 repeated rows are copies of each other, so long ones lose every byte; matches
 never cross documents; no rows give no rows.  Segments and strings are compared
 by 128-bit hashes of their bytes, inside shards byte by byte.
@@ -31,7 +32,7 @@ from dailybars.llm import batches, suffix_sort
 from dailybars.plans.cut import written
 
 LENGTH = 400
-PART = 32
+PART = 100
 SHARED = 2000
 SHARD_BYTES = 2 << 20
 SECOND_BASE = 0x2545F4914F6CDD1D
