@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import context_tree, source_mix, subword_bag, suffix_dedup
+from dailybars.llm import context_tree, diagonal_licenses, markov_secrets, personal_data, qgram_decontam, source_mix, subword_bag, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +27,23 @@ def op4_source_mix(spark, sf_dir):
     return source_mix.mix_sources(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix)}
+def op5_markov_secrets(spark, sf_dir):
+    return markov_secrets.scan(documents(spark, sf_dir))
+
+
+def op6_qgram_decontam(spark, sf_dir):
+    return qgram_decontam.passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_personal_data(spark, sf_dir):
+    return personal_data.report(documents(spark, sf_dir))
+
+
+def op8_diagonal_licenses(spark, sf_dir):
+    return diagonal_licenses.scan(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix, op5_markov_secrets, op6_qgram_decontam, op7_personal_data,
+    op8_diagonal_licenses)}
 SQL = {"op4_source_mix": source_mix.SQL}
