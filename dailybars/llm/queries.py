@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import context_tree, diagonal_licenses, markov_secrets, personal_data, qgram_decontam, source_mix, subword_bag, suffix_dedup
+from dailybars.llm import chosen_path, context_tree, diagonal_licenses, imatch, markov_secrets, personal_data, qgram_decontam, source_mix, subword_bag, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,15 @@ def op8_diagonal_licenses(spark, sf_dir):
     return diagonal_licenses.scan(documents(spark, sf_dir))
 
 
+def op9_chosen_path(spark, sf_dir):
+    return chosen_path.join(documents(spark, sf_dir))
+
+
+def op10_imatch(spark, sf_dir):
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix, op5_markov_secrets, op6_qgram_decontam, op7_personal_data,
-    op8_diagonal_licenses)}
+    op8_diagonal_licenses, op9_chosen_path, op10_imatch)}
 SQL = {"op4_source_mix": source_mix.SQL}
