@@ -162,15 +162,41 @@ def _search(items: Items):
     return search
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Places of benchmark items in documents: doc_id, item_id, first and last word, edits, similarity."""
+def _parts(benchmark: DataFrame, q: int, edits: float, part_bytes: int):
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     parts = max(1, math.ceil(size / part_bytes))
     dealt = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).alias("part"))
-    out = None
     for k in range(parts):
         rows = dealt.filter(F.col("part") == k).collect()  # part_bytes on average
-        items = Items([r["item_id"] for r in rows], [r["text"] or "" for r in rows], q, edits)
+        yield Items([r["item_id"] for r in rows], [r["text"] or "" for r in rows], q, edits)
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Places of benchmark items in documents: doc_id, item_id, first and last word, edits, similarity."""
+    out = None
+    for items in _parts(benchmark, q, edits, part_bytes):
         found = docs.select("doc_id", "text").mapInArrow(_search(items), "doc_id long, item_id long, first_word long, last_word long, edits long, similarity double")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _without(items: Items, text: int):
+    powers = batches.Powers()
+
+    def without(tables):
+        for batch in tables:
+            body, offsets = batches.utf8(batch.column(text))
+            keep = np.ones(len(batch), bool)
+            for row, _, part, edges in batches.slices(body, offsets, 1 << 20):
+                for r, *_ in items.find(*plain(part, edges), powers):
+                    keep[row + r] = False
+            yield batch.filter(pa.array(keep))
+
+    return without
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item stands; one narrow pass for each part of the items."""
+    for items in _parts(benchmark, q, edits, part_bytes):
+        docs = docs.mapInArrow(_without(items, docs.columns.index("text")), docs.schema)
+    return docs

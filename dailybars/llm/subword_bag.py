@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from dailybars.llm import batches
 
@@ -36,7 +36,7 @@ CELLS = 1 << 18
 SIZES = (3, 4, 5, 6, 7)
 WIDTH = 8
 SAMPLE = 1500
-EPOCHS = 12
+STEPS = 1200
 BATCH = 32
 RATE = 1.0
 LEAST = 6
@@ -85,7 +85,7 @@ def _softmax(z):
     return z / z.sum(1, keepdims=True)
 
 
-def fit(texts: list, labels: list, prior: float, epochs: int = EPOCHS, width: int = WIDTH, rate: float = RATE, seed: int = SEED, cells: int = CELLS) -> Model:
+def fit(texts: list, labels: list, prior: float, steps: int = STEPS, width: int = WIDTH, rate: float = RATE, seed: int = SEED, cells: int = CELLS) -> Model:
     """Vectors and softmax learned jointly by gradient steps on small batches."""
     prior = min(max(prior, 0.0), 1.0)
     edge = 1e-9
@@ -105,10 +105,13 @@ def fit(texts: list, labels: list, prior: float, epochs: int = EPOCHS, width: in
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.001, (cells, width)).astype(np.float32)
     top, bias = rng.normal(0, 1, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
-    done, steps = 0, epochs * -(-len(y) // BATCH)
+    done, per_epoch = 0, -(-len(y) // BATCH)
+    steps = per_epoch * -(-steps // per_epoch)
     used = np.array([len(b) for b in bags])
-    for epoch in range(epochs):
-        for rows in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
+    for _ in range(steps // per_epoch):
+        for rows in np.array_split(rng.permutation(len(y)), per_epoch):
+            now = rate * (1 - done / steps)
+            done += 1
             rows = rows[used[rows] > 0]
             if not len(rows):
                 continue
@@ -123,8 +126,6 @@ def fit(texts: list, labels: list, prior: float, epochs: int = EPOCHS, width: in
             own = np.repeat(np.arange(len(rows)), used[rows])
             cell, at = np.unique(flat, return_inverse=True)
             step = np.stack([np.bincount(at, weights=back[own, k], minlength=len(cell)) for k in range(width)], 1).astype(np.float32)
-            now = rate * (1 - done / steps)
-            done += 1
             vectors[cell] -= now * step
             top -= (now / SCALE * (scaled.T @ error)).astype(np.float32)
             bias -= (now * error.sum(0)).astype(np.float32)
@@ -133,21 +134,26 @@ def fit(texts: list, labels: list, prior: float, epochs: int = EPOCHS, width: in
     return Model(np.where(common, (vectors @ (top[:, 1] - top[:, 0])).astype(float) * SCALE, np.nan), moved)
 
 
-
-def _scores(model):
+def _scores(model, text):
     def scores(tables):
         for batch in tables:
-            body, offsets = batches.utf8(batch.column("text"))
+            body, offsets = batches.utf8(batch.column(text))
             out = []
             for row, end, part, edges in batches.slices(body, offsets, 2 << 20):
                 found, of = subwords(part, edges, cells=len(model.weights))
                 out.append(model.score(found, of, end - row))
-            rest = [batch.column(n) for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[n for n in batch.schema.names if n != "text"] + ["score"])
+            score = pa.array(np.concatenate(out) if out else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
     return scores
 
 
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """All rows and columns of ``docs`` with their ``score`` (a column of that name is replaced)."""
+    rest = docs.drop("score")
+    return rest.mapInArrow(_scores(model, rest.columns.index("text")), T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def held_out(doc_id, fold: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % fold == 0
 
@@ -165,5 +171,5 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = train(docs, labels, sample)
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return scored(marked, model).drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
