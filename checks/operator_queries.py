@@ -11,6 +11,7 @@ from checks.duck_features import BARS
 from dailybars.features.build import SECTOR_SYMBOL, build_features, resample, sector_symbols, week_label
 from dailybars.features.build import add_series, last_friday, last_month_end, price_columns
 from dailybars.operators import clean, filters, incremental, labels, models, quality, reports, scoring, stops, trades
+from dailybars.plans import runs
 from dailybars.plans.blocks import number_rows
 from dailybars.plans.cut import shared_folder, written
 from dailybars.sources import fixture as fx, tables
@@ -87,12 +88,18 @@ def cleaned(spark, path):
 # ---- sources and sinks -------------------------------------------------------
 def a01(spark, path):
     to = folder(spark)
-    raw(spark, path).repartition("ticker").write.partitionBy("ticker").csv(to, header=True)
+    rows = raw(spark, path)
+    early = F.col("ticker") < "M"
+    turned = rows.where(~early).select(F.col("close").alias("Close"), F.col("volume").alias("VOLUME"), F.col("date").alias("Date"), "high", "low", "open", F.lit("1.0").alias("Adj Close"), "ticker")
+    rows.where(early).repartition("ticker").write.partitionBy("ticker").csv(f"{to}/a", header=True)
+    turned.repartition("ticker").write.partitionBy("ticker").csv(f"{to}/b", header=True)
+    number = lambda c: F.sum(F.expr(f"try_cast({c} as double)")).alias(f"sum_{c}")
     return tables.read_raw(spark, to).groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.count(F.when(F.col("date") == "no date", 1)).alias("bad_dates"))
+        F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.count(F.when(F.col("date") == "no date", 1)).alias("bad_dates"), F.count("adj close").alias("adjusted"), *[number(c) for c in P5])
 
 
-add("a01_raw_scan", a01, f"with {RAW_SQL} select ticker, count(*) as rows, min(date) as first, count(*) filter (where date = 'no date') as bad_dates from raw group by ticker")
+add("a01_raw_scan", a01, f"with {RAW_SQL} select ticker, count(*) as rows, min(date) as first, count(*) filter (where date = 'no date') as bad_dates, count(*) filter (where ticker >= 'M') as adjusted, "
+    + ", ".join(f"sum(try_cast({c} as double)) as sum_{c}" for c in P5) + " from raw group by ticker", [f"sum_{c}" for c in P5])
 
 
 def a02(spark, path):
@@ -128,7 +135,20 @@ add("a06_validation_scan",
     lambda s, p: tables.validation_scan(ft(s, p), ["rsi14", "roc10", "not_there"], "label_5d", "1998-01-01", "1999-12-31"),
     FT + " select ticker, date, label_5d, coalesce(rsi14, 0) as rsi14, coalesce(roc10, 0) as roc10, 0e0 as not_there from ft where date between '1998-01-01' and '1999-12-31'",
     ["rsi14", "roc10", "not_there"])
-add("a07_sampled_scan", lambda s, p: tables.sampled_scan(fx.bars(s, p), 3000))
+add("a07_sampled_scan", lambda s, p: tables.sampled_scan(fx.bars(s, p), 1500).select("ticker", "date", "close"),
+    BARS_SQL.rstrip() + """, drawn as (select *, md5(ticker || '|' || cast(date as varchar) || '|42') as h from bars),
+    own as (select *, row_number() over (partition by ticker order by h, date) as nr from drawn),
+    whole as (select *, row_number() over (order by h, ticker, date) as place from own where nr <= 150)
+    select ticker, date, close from whole where place <= 1500""", ["close"])
+
+
+def w19(spark, path):
+    return runs.add_direction_runs(number_rows(fx.bars(spark, path)), "close", "run", 512).select("ticker", "date", F.col("run").cast("bigint").alias("run"))
+
+
+add("w19_runs", w19, BARS_SQL.rstrip() + """, d as (select *, row_number() over t as rn, coalesce(cast(close > lag(close) over t as integer), 0) as up from bars window t as (partition by ticker order by date)),
+    s as (select *, case when rn = 1 or up <> lag(up) over (partition by ticker order by rn) then rn end as start from d)
+    select ticker, date, rn - last_value(start ignore nulls) over (partition by ticker order by rn) + 1 as run from s""")
 
 
 def a08(spark, path):
@@ -371,6 +391,8 @@ add("j12_ranking_join", lambda s, p: quality.joined_rankings(importances(s, p),
     IMP2 + " select feature, cast(a.rank as integer) as rank_1, a.importance as importance_1, cast(b.rank as integer) as rank_2, b.importance as importance_2 from ranked a join ranked2 b using (feature)", ["importance_1", "importance_2"])
 
 # ---- aggregations and reports -------------------------------------------------
+add("b01_no_trades", lambda s, p: reports.trade_metrics(run(s, p).where("holding_days > 1000")).drop("date_range"),
+    "select 0 as n_trades, 0e0 as win_rate, 0e0 as avg_return, 0e0 as total_pnl, 0e0 as avg_pnl, 0e0 as max_drawdown, 0e0 as sharpe_ratio, null::double as profit_factor, 0e0 as avg_holding_days, 0e0 as annual_return, 0 as max_concurrent_positions, 0e0 as max_capital_invested")
 add("b01_metrics", lambda s, p: reports.trade_metrics(run(s, p)), f"{TR} select * from {dt.metrics()}", dt.METRIC_DOUBLES)
 add("b02_concurrency", lambda s, p: reports.concurrent_positions(run(s, p)), f"{TR} select max_concurrent_positions from {dt.metrics()}")
 FIXED = f"fixed as (select ticker, date as entry_date, open as entry_price, lead(date, {H}) over w as exit_date, lead(close, {H}) over w as exit_price, {SIGNAL} as sig from ft window w as (partition by ticker order by date)), fixed_trades as (select ticker, entry_date, entry_price, exit_date, exit_price, exit_price / entry_price - 1e0 as \"return\", (exit_price / entry_price - 1e0) * 1000e0 as pnl from fixed where sig and exit_price is not null)"

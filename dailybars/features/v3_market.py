@@ -183,7 +183,7 @@ def beta(p, m=50):
 V3.block(
     "23 market context",
     mkt_spy_dist_sma200=lambda p: zscore(p, p.M / m200(p) - 1.0, 252, 50),
-    mkt_spy_sma200_slope=lambda p: p.rank_or_half(p.slope(m200(p), 20, 20), 252, 50),
+    mkt_spy_sma200_slope=lambda p: p.rank_or_half(p.slope(m200(p), 20, 20), 252, 50, 0.01 * m200(p)),
     beta_spy_252d=beta,
 )
 

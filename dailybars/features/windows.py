@@ -5,16 +5,17 @@ from __future__ import annotations
 from dailybars.features.registry import FeatureSet
 from dailybars.features.v3_price import first_of_year
 from dailybars.features.v3_periods import V3
+from dailybars.functions.terms import TIE
 
 WINDOWS = FeatureSet(V3)
 
 
 def percentile_position(p, x, w, m=1):
     """(values not above the current one - 1) / (values - 1) * 100; 50 for a single value."""
-    x = p.round(x, 12)
+    x = p.keep(x)
     arr = p.values(x, -(w - 1), 0)
     n = p.syntax.size(arr.sql)
-    at = p.syntax.fold(arr.sql, "0e0", f"acc + case when v <= {x.sql} then 1e0 else 0e0 end")
+    at = p.syntax.fold(arr.sql, "0e0", f"acc + case when v <= {x.sql} + {TIE!r} * abs({x.sql}) then 1e0 else 0e0 end")
     return p.keep(p.join(f"(case when {x.sql} is null or {n} < {m} then null when {n} = 1 then 50e0 "
                          f"else ({at} - 1e0) / ({n} - 1e0) * 100e0 end)", arr, x))
 
@@ -45,5 +46,4 @@ WINDOWS.block(
     s_high_52w=lambda p: p.max(p.C, 252), s_low_52w=lambda p: p.min(p.C, 252), s_volume_avg=lambda p: p.avg(p.V, 20),
     s_weekly_close=lambda p: p.base("wk_close"), s_monthly_close=lambda p: p.base("mo_close"))
 WINDOWS.block(
-    "w19 ordinals", w_ordinal=lambda p: p.rn - first_of_year(p, p.rn) + 1.0, w_first=lambda p: first_of_year(p, p.C),
-    w_run=lambda p: p.run_length((p.roc(1) > 0).differs(p.lag(p.keep(p.roc(1) > 0))), 30))
+    "w19 ordinals", w_ordinal=lambda p: p.rn - first_of_year(p, p.rn) + 1.0, w_first=lambda p: first_of_year(p, p.C))

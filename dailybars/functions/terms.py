@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 EPS = 1e-10
+TIE = 1e-12
 
 
 def literal(x) -> str:
@@ -254,17 +255,20 @@ class Sheet:
         head, tail = self.syntax.values(x.sql)
         return self.window(f"{head} {tail} {self.frame(lo, hi)}", [x], -lo)
 
-    def prank(self, x, w, m=1, digits=12):
+    def prank(self, x, w, m=1, scale=None):
         """Average rank of the current value within its window, as a share.
 
-        Values are compared to ``digits`` decimals, so equal values tie whatever their last bits.
+        Values tie if they differ by at most ``TIE`` of ``scale`` (the current value, or what a small difference
+        of large numbers was made from), so last bits do not matter in any unit.
         """
-        x = self.round(x, digits)
+        x = self.keep(x)
+        scale = x if scale is None else self.keep(scale)
         arr = self.values(x, -(w - 1), 0)
-        twice = self.syntax.fold(arr.sql, "0e0", f"acc + case when v < {x.sql} then 2e0 when v = {x.sql} then 1e0 else 0e0 end")
+        near = f"{TIE!r} * abs({scale.sql})"
+        twice = self.syntax.fold(arr.sql, "0e0", f"acc + case when v < {x.sql} - {near} then 2e0 when v <= {x.sql} + {near} then 1e0 else 0e0 end")
         size = self.syntax.size(arr.sql)
         return self.keep(self.join(
-            f"(case when {x.sql} is not null and {size} >= {m} then ({twice} + 1e0) / 2e0 / nullif({size}, 0e0) end)", arr, x))
+            f"(case when {x.sql} is not null and {size} >= {m} then ({twice} + 1e0) / 2e0 / nullif({size}, 0e0) end)", arr, x, scale))
 
     def corr(self, a, b, w, m=1, prev=False, whole=False):
         """Pearson correlation, null pairs skipped, null when a side is constant."""
@@ -315,9 +319,9 @@ class Sheet:
         return self.window(f"{self.syntax.last_value(x.sql)} {self.frame(-w, 0)}", [x], w)
 
     def run_length(self, starts, cap):
-        """Rows since ``starts`` was last true, counting that row; at most cap+1 looked at."""
+        """Rows since ``starts`` was last true, counting that row, but ``cap`` at most (for measures that saturate there)."""
         mark = self.keep(self.iff(starts | (self.rn.equals(1)), self.rn, None))
-        last = self.last_known(mark, cap)
+        last = self.last_known(mark, cap - 1)
         return self.fill(self.rn - last + 1, cap)
 
     # ---- row-wise -------------------------------------------------------
@@ -403,8 +407,8 @@ class Sheet:
         lo, hi = self.min(x, w), self.max(x, w)
         return (x - lo) / ((hi - lo) + EPS)
 
-    def rank_or_half(self, x, w=252, m=1, digits=12):
-        return self.unit(self.fill(self.prank(x, w, m, digits), 0.5))
+    def rank_or_half(self, x, w=252, m=1, scale=None):
+        return self.unit(self.fill(self.prank(x, w, m, scale), 0.5))
 
     # ---- stages ---------------------------------------------------------
     def stages(self, outputs):

@@ -55,11 +55,10 @@ def trade_metrics(trades: DataFrame, position_size: float = 1000.0, group=()) ->
     grown = 1 + F.col("total_pnl") / stake
     annual = F.when(span > 0, F.pow(grown, F.try_divide(F.lit(365.0), span)) - 1).otherwise(0.0)
     return m.select(
-        *group, "n_trades", "win_rate", "avg_return", F.coalesce("total_pnl", F.lit(0.0)).alias("total_pnl"), "avg_pnl",
-        "max_drawdown", sharpe.alias("sharpe_ratio"), F.try_divide(F.coalesce("won", F.lit(0.0)), F.col("lost")).alias("profit_factor"),
-        "avg_holding_days", annual.alias("annual_return"),
+        *group, "n_trades", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("win_rate", "avg_return", "total_pnl", "avg_pnl", "max_drawdown")], sharpe.alias("sharpe_ratio"), F.try_divide(F.coalesce("won", F.lit(0.0)), F.col("lost")).alias("profit_factor"),
+        F.coalesce("avg_holding_days", F.lit(0.0)).alias("avg_holding_days"), annual.alias("annual_return"),
         F.concat_ws(" to ", F.date_format("first_entry", "yyyy-MM-dd"), F.date_format("last_exit", "yyyy-MM-dd")).alias("date_range"),
-        "max_concurrent_positions", capital.alias("max_capital_invested"))
+        F.coalesce("max_concurrent_positions", F.lit(0)).alias("max_concurrent_positions"), F.coalesce(capital, F.lit(0.0)).alias("max_capital_invested"))
 
 
 def simple_metrics(trades: DataFrame) -> DataFrame:
@@ -281,15 +280,17 @@ def side_by_side(runs: DataFrame, run: str, base: str, other: str, position_size
 
 def preset_comparison(trades: DataFrame, presets: dict) -> DataFrame:
     """Impact of several presets (a handful of filter lists) and which is best per column."""
-    flags = F.array(*[F.struct(F.lit(name).alias("preset"), passes_all(trades.columns, fs).alias("kept")) for name, fs in presets.items()])
-    each = trades.select("return", "exit_reason", F.explode(flags).alias("x")).select("return", "exit_reason", "x.*")
     n = lambda c: F.count(F.when(c, 1))
-    out = ~F.col("kept")
-    t = each.groupBy("preset").agg(
-        n(F.col("kept")).alias("remaining_trades"),
-        share(n(out & is_win()), n(is_win()), 100).alias("winners_excluded_pct"),
-        share(n(out & big_loss()), n(big_loss()), 100).alias("stop_losses_excluded_pct"),
-        share(n(F.col("kept") & is_win()), n(F.col("kept"))).alias("win_rate"))
+
+    def impact(name, filters):
+        kept = passes_all(trades.columns, filters)
+        return F.struct(
+            F.lit(name).alias("preset"), n(kept).alias("remaining_trades"),
+            share(n(~kept & is_win()), n(is_win()), 100).alias("winners_excluded_pct"),
+            share(n(~kept & big_loss()), n(big_loss()), 100).alias("stop_losses_excluded_pct"),
+            share(n(kept & is_win()), n(kept)).alias("win_rate"))
+
+    t = trades.agg(F.array(*[impact(*p) for p in presets.items()]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     over = W.partitionBy(F.lit(0))
     best = lambda c, fn: F.col(c) == fn(c).over(over)
     return t.select("*", best("winners_excluded_pct", F.min).alias("best_winners"),

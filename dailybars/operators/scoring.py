@@ -130,9 +130,12 @@ def ratio(a, b):
 
 def threshold_sweep(scored: DataFrame, label: str, score: str) -> DataFrame:
     """Precision, recall, F1 and positive rate at 0.10, 0.15, ... 0.90."""
-    steps = F.array(*[F.lit(round(0.10 + 0.05 * i, 2)) for i in range(17)])
-    t = scored.select(F.explode(steps).alias("threshold"), label, score)
-    t = t.groupBy("threshold").agg(*outcome_counts(F.col(score) >= F.col("threshold"), label))
+    steps = [round(0.10 + 0.05 * i, 2) for i in range(17)]
+    met = sum((F.coalesce(F.col(score) >= s, F.lit(False)).cast("int") for s in steps), F.lit(0))  # how many thresholds a score reaches
+    bins = scored.where(F.col(score).isNotNull()).groupBy(met.alias("met")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("ones"), F.count(F.when(F.col(label) != 1, 1)).alias("zeros"))
+    at = bins.select("met", "ones", "zeros", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("nr"), F.lit(s).alias("threshold")) for i, s in enumerate(steps)])).alias("s"))  # 18 rows of bins
+    total = lambda c, hit: F.sum(F.when((F.col("met") >= F.col("s.nr")) == hit, F.col(c)).otherwise(0))
+    t = at.groupBy("s.threshold").agg(total("ones", F.lit(True)).alias("tp"), total("zeros", F.lit(True)).alias("fp"), total("ones", F.lit(False)).alias("fn"), total("zeros", F.lit(False)).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return t.select("threshold", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
                     ratio(2 * tp, 2 * tp + fp + fn).alias("f1_score"), (tp + fp).alias("positive_predictions"),

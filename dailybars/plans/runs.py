@@ -6,7 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from dailybars.plans.blocks import into_blocks
+from dailybars.plans.blocks import BLOCK_ROWS, into_blocks
+
+
+
+def in_block():
+    return W.partitionBy("ticker", "blk").orderBy("rn")
 
 
 def add_jump_runs(df: DataFrame, value: str, jump: float, name: str, size: int) -> DataFrame:
@@ -16,8 +21,17 @@ def add_jump_runs(df: DataFrame, value: str, jump: float, name: str, size: int)
     block: only one row per block is ordered over a whole ticker.
     """
     frame = into_blocks(df, 1, size=size)
-    order = W.partitionBy("ticker", "blk").orderBy("rn")
-    moved = F.abs(F.col(value) - F.lag(value).over(order)) > jump
+    return _runs(frame, F.abs(F.col(value) - F.lag(value).over(in_block())) > jump, value, name)
+
+
+def add_direction_runs(df: DataFrame, value: str, name: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Rows since ``value`` last turned between rising and not rising, counting that row."""
+    frame = into_blocks(df, 2, size=size).withColumn("up", F.coalesce(F.col(value) > F.lag(value).over(in_block()), F.lit(False)))
+    return _runs(frame, F.col("up") != F.lag("up").over(in_block()), value, name).drop("up")
+
+
+def _runs(frame: DataFrame, moved, value: str, name: str) -> DataFrame:
+    order = in_block()
     frame = frame.withColumn("start", F.when((F.col("rn") == 1) | moved, F.col("rn"))).where("own")
     latest = frame.groupBy("ticker", "blk").agg(F.max("start").alias("latest"))
     earlier = W.partitionBy("ticker").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from dailybars.plans.ordered import with_totals
+
 # Market and sector reference symbols, never feature or training rows.
 REFERENCE_TICKERS = ["SPY", "XLK", "XLF", "XLV", "XLE", "XLI", "XLY", "XLP", "XLB", "XLU", "XLC", "XLRE"]
 
@@ -16,15 +18,28 @@ PRICE_COLUMNS = ["open", "high", "low", "close", "volume", "adj close", "adj_clo
 
 
 def read_raw(spark: SparkSession, folder: str, schema: str = RAW) -> DataFrame:
-    """One CSV (or folder of CSVs) per ticker; columns by position, the ticker from the path."""
-    df = spark.read.csv(folder, header=True, schema=schema, enforceSchema=True, recursiveFileLookup=True)
-    return df.withColumn("ticker", F.regexp_extract(F.input_file_name(), r"([^/=]+)(\.csv|/part-[^/]*)$", 1))
+    """One CSV (or folder of CSVs) per ticker; columns by the name in each file's header, the ticker from the path.
+
+    Names are lower-cased and may stand in any order; columns of ``schema`` that a file lacks are null, others are
+    kept.  Files are read together by header, of which there are a few; a file without a date column has no rows.
+    """
+    lines = spark.read.text(folder, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+    named = lines.where(F.lower("header").rlike(r'(^|,)\s*"?date"?\s*(,|$)'))
+    wanted = [f.name for f in T.StructType.fromDDL(schema)]
+    out = spark.createDataFrame([], schema + ", file string")
+    for row in named.groupBy("header").agg(F.collect_set("file").alias("files")).collect():  # names of files, as in any listing
+        columns = [c.strip().strip('"').strip().lower() for c in row["header"].split(",")]
+        fields = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        df = spark.read.csv(row["files"], header=True, schema=fields, enforceSchema=True)
+        out = out.unionByName(df.withColumn("file", F.input_file_name()), allowMissingColumns=True)
+    ticker = F.regexp_extract("file", r"([^/=]+)(\.csv|/part-[^/]*)$", 1).alias("ticker")
+    return out.select(*wanted, *[c for c in out.columns if c not in [*wanted, "file", "ticker"]], ticker)
 
 
 def write_clean(bars: DataFrame, folder: str, mode: str = "overwrite", per_ticker: bool = True) -> None:
     """Parquet; per ticker folders suit hundreds of tickers, otherwise sorted files carry ticker statistics."""
     if per_ticker:
-        bars.repartition("ticker").sortWithinPartitions("ticker", "date").write.mode(mode).partitionBy("ticker").parquet(folder)
+        bars.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date").write.mode(mode).partitionBy("ticker").parquet(folder)
     else:
         bars.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date").write.mode(mode).parquet(folder)
 
@@ -66,10 +81,10 @@ def validation_scan(features: DataFrame, names, label: str, start=None, end=None
 
 
 def sampled_scan(df: DataFrame, rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """About ``rows`` rows, from each ticker at most a tenth of that (a random share per ticker size)."""
-    sizes = df.groupBy("ticker").agg(F.count(F.lit(1)).alias("size"))
-    share = F.least(F.lit(1.0), F.lit(rows / 10) / F.col("size"))
-    return df.join(sizes.withColumn("share", share), "ticker").where(F.rand(seed) < F.col("share")).drop("size", "share").limit(rows)
+    """At most ``rows`` rows, from each ticker at most a tenth of that: the first in a seeded hash order."""
+    drawn = df.withColumn("drawn", F.md5(F.concat_ws("|", "ticker", F.col("date").cast("string"), F.lit(str(seed)))))
+    own = with_totals(drawn, ["drawn", "date"], ["ticker"]).where(F.col("pos") <= rows // 10).select(drawn.columns)
+    return with_totals(own, ["drawn", "ticker", "date"]).where(F.col("pos") <= rows).select(df.columns)
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
