@@ -57,9 +57,20 @@ def _following(chunks: DataFrame) -> DataFrame:
     return inner.join(turn.select("g", "after"), "g").select("chunk", F.coalesce("next", "after").alias("next"))
 
 
+def _together(df: DataFrame, name: str) -> DataFrame:
+    """Store ``df`` with joins on (chunk, place) left where both sides already lie by chunk."""
+    conf, key = df.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def _hashes(parts: Column) -> Column:
     """The fingerprint as an array: one entry for each subset with terms."""
-    return F.transform(parts, lambda p: F.concat(F.lpad(F.hex(p["part"]), 2, "0"), F.substring(F.md5(F.array_join(F.array_sort(p["terms"]), " ")), 1, 8)))
+    return F.transform(parts, lambda p: F.concat(F.lpad(F.hex(p["part"]), 2, "0"), F.substring(F.md5(F.array_join(F.array_sort(p["terms"]), " ")), 1, 6)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,7 +84,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     heads = rows.groupBy("chunk").agg(F.min("doc_id").alias("head"))
     first = (rows.withColumnRenamed("chunk", "next").join(heads.withColumnRenamed("chunk", "next"), "next").filter(F.col("doc_id").eqNullSafe(F.col("head")))
              .groupBy("next").agg(F.min("text").alias("text")))
-    guests = _following(heads.select("chunk")).join(first, "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "chunk", F.lit(True).alias("guest"))
+    guests = written(_following(heads.select("chunk")).join(first, "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "chunk", F.lit(True).alias("guest")), "guests")
     place = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
     half = F.floor(F.length("text") / 2).cast("int")
     placed = (rows.withColumn("guest", F.lit(False)).unionByName(guests)
@@ -85,8 +96,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     prints = parts.groupBy("chunk", "place").agg(*(F.array_sort(_hashes(F.collect_list(F.when(F.col("kind") == k, F.struct("part", "terms"))))).alias(n) for k, n in ((0, "own"), (1, "changed"))))
     all_terms = lambda c: F.array(F.md5(F.array_join(F.array_sort(terms(F.col(c))), " ")))
     filled = lambda n, c: F.when(F.size(n) > 0, F.col(n)).otherwise(all_terms(c))
-    made = written(placed.join(prints, ["chunk", "place"], "left").select(
-        "chunk", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), filled("own", "text").alias("own"), filled("changed", "edited").alias("changed")), "prints")
+    whole = placed.select("chunk", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited").join(prints, ["chunk", "place"], "left")
+    made = _together(whole.select("chunk", "place", "doc_id", "n_chars", "edited_sha256", filled("own", "text").alias("own"), filled("changed", "edited").alias("changed")), "prints")
     starts = made.filter("place = 1").select(F.col("chunk").alias("next"), F.col("own").alias("over"))
     ends = _following(made.select("chunk").distinct()).join(starts, "next").select("chunk", "over")
     last = made.groupBy("chunk").agg(F.max("place").alias("place")).join(ends, "chunk")

@@ -29,7 +29,7 @@ def test_fingerprints(spark):
         for w in words & band:
             own.setdefault(part[w], []).append(w)
         md5 = lambda ws: hashlib.md5(" ".join(sorted(ws)).encode()).hexdigest()
-        return sorted(f"{p:02X}{md5(ws)[:8]}" for p, ws in own.items()) or [md5(words)]
+        return sorted(f"{p:02X}{md5(ws)[:6]}" for p, ws in own.items()) or [md5(words)]
 
     like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     prints = [print_(t) for t in texts]
