@@ -342,3 +342,22 @@ def distinct(docs: DataFrame, **options) -> DataFrame:
     alone = texts.filter(~F.exists(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     held = texts.alias("t").join(first.withColumnsRenamed({"doc_id": "_doc", "text_id": "_text"}), (F.col("_text_id") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     return held.dropDuplicates(["_text_id", "_doc"]).select("t.*").unionByName(alone).drop("_text_id")
+
+
+SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+g as (
+  select distinct r, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+z as (select r, count(*) as n from g group by r),
+p as (select a.r as x, b.r as y, count(*) as c from g a join g b on a.s = b.s and a.r < b.r group by a.r, b.r),
+l as (select x, y from p join z a on a.r = p.x join z b on b.r = p.y where c >= 0.8::double * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+walk as (select x, y from e union select walk.x, e.y from walk join e on walk.y = e.x),
+class as (select x as r, min(doc_id) as low from walk join d on d.r = walk.y group by x),
+many as (select x as r, count(*) as n from e group by x)
+select doc_id, least(doc_id, low) as class_id, coalesce(n, 0)::bigint as n_links from d left join class using (r) left join many using (r)
+"""

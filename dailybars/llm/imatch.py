@@ -44,7 +44,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = L
     sizes = counts.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("postings")).first()
     number = docs.count()
     least = max(low * number, sizes["postings"] / most)
-    return counts.filter(F.col("df").between(least, high * number)).select("term", F.pmod(F.xxhash64(F.lit(SEED), "term"), F.lit(SUBSETS)).cast("int").alias("part"))
+    return counts.filter(F.col("df").between(least, high * number)).select("term", (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), "term")), 1, 8), 16, 10).cast("long") % SUBSETS).cast("int").alias("part"))
 
 
 def _following(chunks: DataFrame) -> DataFrame:
@@ -105,3 +105,31 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     return (made.join(last, ["chunk", "place"], "left").withColumn("follow", follow)
             .select("doc_id", "n_chars", "edited_sha256", F.array_join("own", " ").alias("fingerprint"), F.array_join("changed", " ").alias("edited_fingerprint"),
                     likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("follow")).alias("near_next")))
+
+
+SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id nulls last, coalesce(text, '')) as rn, count(*) over () as n from documents),
+e as (
+  select a.rn, a.n, a.doc_id, length(a.text)::bigint as n_chars, a.text,
+         substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) as edited
+  from d a join d b on b.rn = a.rn % a.n + 1),
+t as (
+  select rn, n, kind, list_distinct(list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda w: w <> '')) as terms
+  from (select rn, n, 0 as kind, text as x from e union all select rn, n, 1, edited from e)),
+u as (select rn, n, kind, unnest(terms) as term from t),
+f as (select term, count(*) as df, max(n) as n from u where kind = 0 group by term),
+lexicon as (
+  select term, ('0x' || substr(md5('17:' || term), 1, 8))::bigint % 64 as part
+  from f where df between greatest(0.002 * n, (select sum(df) from f) / 262144) and 0.02 * n),
+parts as (
+  select rn, kind, printf('%02X', part) || substr(md5(string_agg(term, ' ' order by term)), 1, 6) as h
+  from u join lexicon using (term) group by rn, kind, part),
+own as (select rn, kind, list_sort(list(h)) as p from parts group by rn, kind),
+prints as (
+  select t.rn, t.n, t.kind, coalesce(own.p, [md5(array_to_string(list_sort(t.terms), ' '))]) as p from t left join own using (rn, kind))
+select e.doc_id, e.n_chars, sha256(e.edited) as edited_sha256, array_to_string(a.p, ' ') as fingerprint, array_to_string(b.p, ' ') as edited_fingerprint,
+       len(list_intersect(a.p, b.p)) / len(list_distinct(a.p || b.p)) as near_edited,
+       len(list_intersect(a.p, c.p)) / len(list_distinct(a.p || c.p)) as near_next
+from e join prints a on a.rn = e.rn and a.kind = 0 join prints b on b.rn = e.rn and b.kind = 1 join prints c on c.rn = e.rn % e.n + 1 and c.kind = 0
+"""

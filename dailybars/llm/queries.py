@@ -54,4 +54,4 @@ def op10_imatch(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix, op5_markov_secrets, op6_qgram_decontam, op7_personal_data,
     op8_diagonal_licenses, op9_chosen_path, op10_imatch)}
-SQL = {"op4_source_mix": source_mix.SQL}
+SQL = {"op4_source_mix": source_mix.SQL, "op9_chosen_path": chosen_path.SQL, "op10_imatch": imatch.SQL}
