@@ -39,7 +39,8 @@ RECALL = 0.9999
 SMALL = 400
 BLOCK = 200
 AGAIN = 8
-CHUNK_ROWS = 3000
+CHUNK_ROWS = 2000
+PAIRS = 100_000
 TOP = float(1 << 64)
 
 
@@ -141,39 +142,28 @@ def _ranks(lists):
     return values, rank, edge
 
 
-class _Unit:
-    """Sets that meet in one bucket (or in two blocks of it)."""
+def _pairs(rows, crossing, own, size, similarity):
+    """Pairs of rows of one unit whose sizes allow the similarity."""
+    i, j = np.triu_indices(len(rows), 1)
+    i, j = rows[i], rows[j]
+    keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    if crossing:
+        keep &= own[i] != own[j]
+    return i[keep], j[keep]
 
-    def __init__(self, table, rows, crossing):
-        self.rows, self.crossing = rows, crossing
-        self.n = len(rows)
 
-    def pairs(self, own, size, similarity):
-        i, j = np.triu_indices(self.n, 1)
-        i, j = self.rows[i], self.rows[j]
-        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-        if self.crossing:
-            keep &= own[i] != own[j]
-        return i[keep], j[keep]
-
-
-def _first_common(i, j, rank, edge, here):
-    """Whether ``here`` is the smallest leaf that both rows of a pair have."""
-    width = int(rank.max(initial=0)) + 1
-    rows = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    known = np.sort(rows * width + rank)
+def _first_common(i, j, here, rank, edge, known, width):
+    """Whether ``here`` is the smallest leaf that both rows of a pair have; ``known``: sorted row * width + leaf."""
     out = np.zeros(len(i), bool)
-    for a in range(0, len(i), 200_000):
-        p, q = i[a:a + 200_000], j[a:a + 200_000]
+    for a in range(0, len(i), PAIRS):
+        p, q = i[a:a + PAIRS], j[a:a + PAIRS]
         many = edge[p + 1] - edge[p]
-        pair = np.repeat(np.arange(len(p)), many)
-        at = np.repeat(edge[p] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        ask = q[pair] * width + rank[at]
+        first = np.cumsum(many) - many
+        at = np.repeat(edge[p] - first, many) + np.arange(int(many.sum()))
+        ask = np.repeat(q, many) * width + rank[at]
         slot = np.minimum(np.searchsorted(known, ask), len(known) - 1)
         found = np.where(known[slot] == ask, rank[at], width)
-        least = np.full(len(p), width)
-        np.minimum.at(least, pair, found)
-        out[a:a + 200_000] = least == here
+        out[a:a + PAIRS] = np.minimum.reduceat(found, first) == here[a:a + PAIRS]
     return out
 
 
@@ -213,37 +203,54 @@ def _meet(similarity, verify):
             lists = table["grams"].combine_chunks()
             starts = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             grams = lists.flatten().to_numpy()
+        width = len(leaves) + 1
+        known = np.sort(np.repeat(np.arange(len(bucket)), np.diff(edge)) * width + rank)
+        here = np.searchsorted(leaves, bucket)
         kept, links, root = [], [], []
-        for a, b in zip(new, np.append(new[1:], len(order))):
-            rows = order[a:b]
-            unit = _Unit(table, rows, one[rows[0]] != two[rows[0]])
-            i, j = unit.pairs(own, size, similarity)
-            if not len(i):
-                continue
-            mine = _first_common(i, j, rank, edge, int(np.searchsorted(leaves, bucket[rows[0]])))
-            i, j = i[mine], j[mine]
-            if verify and len(i):
-                shared = _shared(i, j, grams, starts)
-                alike = shared >= similarity * (size[i] + size[j] - shared)
-                i, j = i[alike], j[alike]
-            if not len(i):
-                continue
+
+        def settle(units):
+            """Keep the pairs that belong here, of several units at once; then go through the units."""
+            if not units:
+                return
+            i, j = (np.concatenate(x) for x in zip(*units))
+            mine = _first_common(i, j, here[i], rank, edge, known, width)
+            end = 0
+            for p, q in units:
+                start, end = end, end + len(p)
+                p, q = p[mine[start:end]], q[mine[start:end]]
+                if verify and len(p):
+                    shared = _shared(p, q, grams, starts)
+                    alike = shared >= similarity * (size[p] + size[q] - shared)
+                    p, q = p[alike], q[alike]
+                if len(p):
+                    take(p, q)
+
+        def take(i, j):
             inside, at = np.unique(np.concatenate((i, j)), return_inverse=True)
             kept.append(inside)
             if verify:
                 p, q = at[:len(i)], at[len(i):]
                 links.append((np.bincount(p, weights=copies[j], minlength=len(inside)) + np.bincount(q, weights=copies[i], minlength=len(inside))).astype(np.int64))
-                label = np.arange(len(inside))
-                while True:
-                    low = np.minimum(label[p], label[q])
-                    new_label = label.copy()
-                    np.minimum.at(new_label, p, low)
-                    np.minimum.at(new_label, q, low)
-                    new_label = new_label[new_label]
-                    if (new_label == label).all():
-                        break
-                    label = new_label
+                label, last = np.arange(len(inside)), None
+                while last is None or (label != last).any():
+                    last, low = label, np.minimum(label[p], label[q])
+                    label = label.copy()
+                    np.minimum.at(label, p, low)
+                    np.minimum.at(label, q, low)
+                    label = label[label]
                 root.append(inside[label])
+
+        waiting, number = [], 0
+        for a, b in zip(new, np.append(new[1:], len(order))):
+            rows = order[a:b]
+            i, j = _pairs(rows, one[rows[0]] != two[rows[0]], own, size, similarity)
+            if len(i):
+                waiting.append((i, j))
+                number += len(i)
+            if number >= PAIRS:
+                settle(waiting)
+                waiting, number = [], 0
+        settle(waiting)
         flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
         sid = table["sid"].take(pa.array(flat))
         if not verify:
@@ -313,7 +320,7 @@ def classes(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, recall:
         return df.groupBy(F.pmod(F.xxhash64("bucket", "one", "two"), F.lit(chunks)).alias("chunk"))
 
     leaves_rows = leaves.count()
-    paired = written(chunked(placed, 20 * CHUNK_ROWS).applyInArrow(_meet(similarity, False), unit), "paired")
+    paired = written(chunked(placed, 4 * CHUNK_ROWS).applyInArrow(_meet(similarity, False), unit), "paired")
     wanted = sets.join(paired.select("sid").distinct(), "sid").select("sid", "text_id")
     members = _texts(docs, wanted).select("sid", "text").mapInArrow(_members(k), "sid binary, grams array<long>")
     leaves_rows = paired.count()
