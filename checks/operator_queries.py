@@ -128,8 +128,14 @@ def a04(spark, path):
 
 
 add("a04_feature_sink", a04, FT + " select ticker, date, round(cast(cast(rsi14 as float) as double) + 1.3e-8, 4) + 0e0 as rsi14, round(cast(cast(roc10 as float) as double) + 1.3e-8, 4) + 0e0 as roc10 from ft", ["rsi14", "roc10"])
+
+
+def with_references(df):
+    return df.unionByName(df.where("ticker = 'PROMO'").withColumn("ticker", F.lit("SPY"))).unionByName(df.where("ticker = 'SMALL'").withColumn("ticker", F.lit("XLK")))
+
+
 add("a05_training_scan",
-    lambda s, p: tables.training_scan(ft(s, p).unionByName(ft(s, p).limit(0)), ["roc10"]).select("ticker", "date", "label_5d", F.round(F.col("roc10").cast("double") + 1.3e-8, 4).alias("roc10")),
+    lambda s, p: tables.training_scan(with_references(ft(s, p)), ["roc10"]).select("ticker", "date", "label_5d", F.round(F.col("roc10").cast("double") + 1.3e-8, 4).alias("roc10")),
     FT + " select ticker, date, label_5d, round(cast(cast(roc10 as float) as double) + 1.3e-8, 4) as roc10 from ft where ticker not in ('SPY','XLK')", ["roc10"])
 add("a06_validation_scan",
     lambda s, p: tables.validation_scan(ft(s, p), ["rsi14", "roc10", "not_there"], "label_5d", "1998-01-01", "1999-12-31"),
@@ -364,6 +370,17 @@ def j06(spark, path):
 
 J6 = f"{TR}, sparse as (select * from ft where day(date) % 3 <> 0) select t.ticker, t.entry_date, s.date as feature_date, s.rsi14, s.roc10, t.pnl from trades t asof join sparse s on s.ticker = t.ticker and s.date <= t.entry_date"
 add("j06_j07_entry_features", j06, J6, ["rsi14", "roc10", "pnl"])
+
+
+def flawed(spark, path):
+    made = run(spark, path)
+    return made.withColumn("ticker", F.when(F.month("entry_date") == 1, "UNKNOWN").when(F.month("entry_date") == 2, "NONE").otherwise(F.col("ticker"))).withColumn(
+        "entry_date", F.when(F.month("entry_date") != 3, F.col("entry_date")))
+
+
+add("j07_entry_skips", lambda s, p: scoring.entry_skips(flawed(s, p), ft(s, p)),
+    f"""{TR} select count(*) filter (where month(entry_date) > 3) as with_features, count(*) filter (where month(entry_date) = 2) as no_features,
+    count(*) filter (where month(entry_date) = 1) as no_ticker, count(*) filter (where month(entry_date) = 3) as no_date from trades""")
 add("j08_exact_entry_features", lambda s, p: scoring.exact_entry_features(run(s, p), ft(s, p).where("day(date) % 3 <> 0"), ["rsi14"]).select("ticker", "entry_date", "rsi14"),
     f"{TR}, sparse as (select * from ft where day(date) % 3 <> 0) select t.ticker, t.entry_date, s.rsi14 from trades t left join sparse s on s.ticker = t.ticker and s.date = t.entry_date", ["rsi14"])
 
@@ -534,6 +551,7 @@ add("b27_importance_tiers", lambda s, p: quality.importance_tiers(importances(s,
     f"{IMP_SQL}, {RANKED} select {TIER} as tier, count(*) as features, sum(pct) as importance_pct, (select sum(pct) from ranked where rank <= 20) as top_20_pct from ranked group by 1", ["importance_pct", "top_20_pct"])
 add("b28_importance_table", lambda s, p: quality.importance_table(importances(s, p)), f"{IMP_SQL}, {RANKED} select feature, importance, cast(rank as integer) as rank, pct, cumulative_pct from ranked", ["importance", "pct", "cumulative_pct"])
 add("b29_prune_zero", lambda s, p: quality.features_to_disable(importances(s, p), "drop_zero"), f"{IMP_SQL} select feature from imp where importance < 1e-10")
+add("b29_prune_weak", lambda s, p: quality.features_to_disable(importances(s, p), "drop_below_threshold", 0.5), f"{IMP_SQL} select feature from imp where importance < 0.5")
 add("b29_keep_top", lambda s, p: quality.features_to_disable(importances(s, p), "keep_top_n", 5), f"{IMP_SQL}, {RANKED} select feature from ranked where rank > 5")
 add("b29_prune_below", lambda s, p: quality.features_to_disable(importances(s, p), "drop_below_threshold", 0.02), f"{IMP_SQL} select feature from imp where importance < 0.02")
 
@@ -646,7 +664,9 @@ add("f08_threshold_sweep", lambda s, p: scoring.threshold_sweep(scored(s, p), "l
     ["threshold", "precision", "recall", "f1_score", "positive_rate"])
 add("f09_label_report", lambda s, p: quality.label_report(ft(s, p), "label_5d"),
     f"{FT} select count(*) as rows, sum(label_5d)::bigint as positives, avg(label_5d) as rate, (count(*) - sum(label_5d)) / sum(label_5d) as imbalance, case when avg(label_5d) > 0.5 then 'more than half positive' when avg(label_5d) < 0.01 then 'very rare' when avg(label_5d) > 0.2 then 'high share' else 'none' end as alarm from ft", ["rate", "imbalance"])
-add("f10_stratified_sample", lambda s, p: quality.stratified_sample(ft(s, p).select("ticker", "date", "label_5d"), "label_5d", 0.2))
+add("f10_stratified_sample", lambda s, p: quality.stratified_sample(ft(s, p).select("ticker", "date", "label_5d").where("label_5d is not null"), "label_5d", 2000),
+    f"""{FT}, l as (select ticker, date, label_5d from ft where label_5d is not null), r as (select *, row_number() over (partition by label_5d order by md5(ticker || '|' || cast(date as varchar) || '|42'), ticker, date) as nr, count(*) over (partition by label_5d) as c, count(*) over () as n from l)
+    select ticker, date, label_5d from r where nr <= floor(2000 * c / n + 0.5)""")
 X = ["rsi14", "atr14_normalized", "close_position_in_range", "volatility_21d", "relative_volume", "roc10"]
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from dailybars.plans.ordered import exact_quantiles
+from dailybars.plans.ordered import exact_quantiles, with_totals
 
 
 def long_result(wide: DataFrame, features, fields, key: str = "feature") -> DataFrame:
@@ -201,6 +201,10 @@ def preview(df: DataFrame, n: int = 5, last: bool = False) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def stratified_sample(df: DataFrame, label: str, fraction: float, seed: int = 42) -> DataFrame:
-    """The same fraction of each class."""
-    return df.sampleBy(label, {0: fraction, 1: fraction}, seed)
+def stratified_sample(df: DataFrame, label: str, rows: int, seed: int = 42, keys=("ticker", "date")) -> DataFrame:
+    """``rows`` rows with the class shares kept (rounded per class), first in a seeded hash order; all if there are fewer."""
+    drawn = df.withColumn("drawn", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))))
+    shares = df.groupBy(label).agg(F.count(F.lit(1)).alias("size")).withColumn("whole", F.sum("size").over(W.partitionBy(F.lit(0))))  # one row a class
+    quota = shares.select(F.col(label).alias("class"), F.least("size", F.floor(F.lit(rows) * F.col("size") / F.col("whole") + 0.5)).alias("quota"))
+    placed = with_totals(drawn, ["drawn", *keys], [label])
+    return placed.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("class"))).where(F.col("pos") <= F.col("quota")).select(df.columns)

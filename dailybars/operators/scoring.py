@@ -196,6 +196,16 @@ def entry_features(trades: DataFrame, features: DataFrame, names) -> DataFrame:
     return asof_by_ticker(left, right, "entry_date", "feature_date")
 
 
+def entry_skips(trades: DataFrame, features: DataFrame) -> DataFrame:
+    """How many trades have features at their entry, and why the others have none."""
+    named = F.col("ticker").isNotNull() & (F.col("ticker") != "UNKNOWN")
+    usable = trades.where(named & F.col("entry_date").isNotNull())
+    first = features.groupBy("ticker").agg(F.min("date").alias("first"))
+    n = lambda c: F.count(F.when(c, 1))
+    late = usable.join(first, "ticker", "left").agg(n(F.col("first") <= F.col("entry_date")).alias("with_features"), n(F.col("first").isNull() | (F.col("first") > F.col("entry_date"))).alias("no_features"))
+    return late.crossJoin(trades.agg(n(~F.coalesce(named, F.lit(False))).alias("no_ticker"), n(F.coalesce(named, F.lit(False)) & F.col("entry_date").isNull()).alias("no_date")))  # one row each
+
+
 def exact_entry_features(trades: DataFrame, features: DataFrame, names) -> DataFrame:
     right = features.select("ticker", F.col("date").alias("entry_date"), *names)
     return trades.join(right, ["ticker", "entry_date"], "left")
