@@ -10,6 +10,7 @@ from checks import duck_trades as dt
 from checks.duck_features import BARS
 from dailybars.features.build import SECTOR_SYMBOL, build_features, resample, sector_symbols, week_label
 from dailybars.features.build import add_series, last_friday, last_month_end, price_columns
+from dailybars.features.v3_composite import V3
 from dailybars.operators import clean, filters, incremental, labels, models, quality, reports, scoring, stops, trades
 from dailybars.plans import runs
 from dailybars.plans.blocks import number_rows
@@ -289,6 +290,30 @@ def preset_sql(preset):
 
 add("p17_default_preset", lambda s, p: filters.apply_entry_filters(ft(s, p), filters.DEFAULT_FILTERS).select("ticker", "date"), f"{FT} select ticker, date from ft where {preset_sql(filters.DEFAULT_FILTERS)}")
 add("p18_recommended_preset", lambda s, p: filters.apply_entry_filters(ft(s, p), filters.RECOMMENDED_FILTERS).select("ticker", "date"), f"{FT} select ticker, date from ft where {preset_sql(filters.RECOMMENDED_FILTERS)}")
+
+
+def preset_counts(spark, path, preset):
+    """Rows that pass each filter of a preset alone, and all of them, over every feature the set defines."""
+    names = defined(preset)
+    df = build_features(fx.bars(spark, path), names, market=fx.market(spark, path))
+    rows = [(f"{f} {op} {v}", filters.passes((f, op, v))) for f, op, v in preset if f in names] + [("all", filters.passes_all(df.columns, preset))]
+    return df.agg(F.array(*[F.struct(F.lit(n).alias("filter"), F.count(F.when(c, 1)).alias("rows")) for n, c in rows]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def defined(preset):
+    return [f for f, _, _ in preset if f in V3]
+
+
+def preset_counts_sql(preset):
+    names = defined(preset)
+    one = lambda f, op, v: f"coalesce({f} {op} {v}, false)"
+    rows = [(f"{f} {op} {v}", one(f, op, v)) for f, op, v in preset if f in names]
+    rows.append(("all", " and ".join(c for _, c in rows)))
+    return dt.table(names) + " " + " union all ".join(f"select '{n}' as filter, count(*) filter (where {c}) as rows from ft" for n, c in rows)
+
+
+add("p17_default_counts", lambda s, p: preset_counts(s, p, filters.DEFAULT_FILTERS), preset_counts_sql(filters.DEFAULT_FILTERS))
+add("p18_recommended_counts", lambda s, p: preset_counts(s, p, filters.RECOMMENDED_FILTERS), preset_counts_sql(filters.RECOMMENDED_FILTERS))
 add("p19_timing_filter", lambda s, p: fx.bars(s, p).where(filters.timing_ok()), BARS_SQL + "select * from bars where isodow(date) > 2 and month(date) <> 10", P5)
 add("p20_date_slice", lambda s, p: filters.date_slice(fx.bars(s, p), "1997-01-01", "1998-06-30"), BARS_SQL + "select * from bars where date between '1997-01-01' and '1998-06-30'", P5)
 add("p21_trade_search", lambda s, p: filters.filter_trades(run(s, p), "1996-01-01", "2000-12-31", -0.05, 0.08, "m").select("ticker", "entry_date", "return"),
