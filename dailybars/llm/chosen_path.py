@@ -7,8 +7,9 @@ bucket.  Two sets of the wanted similarity share at least one pick a run on
 average, so one run finds a pair with probability 1 - 1/e or more, and the number
 of runs follows from the target ``RECALL``.  A bucket of more than ``SMALL`` sets is
 split again by picks of its own (``AGAIN`` repeats), which separates sets that only
-share a passage.  What stays large consists of sets that are alike; it is compared
-exactly, in pairs of blocks of ``BLOCK`` sets, so no task holds it whole.
+share a passage; not so if most of its sets have the same smallest pick, as sets
+that are alike do.  What stays large is compared exactly, in pairs of blocks of
+about ``BLOCK`` sets, so no task holds it whole.
 
 Equal sets are one from the start, with their number of copies.  Buckets of one set
 are dropped.  A pair is looked at only in the smallest-numbered bucket that both
@@ -37,8 +38,8 @@ K = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 SMALL = 400
-BLOCK = 200
-AGAIN = 8
+BLOCK = 400
+AGAIN = 3
 CHUNK_ROWS = 2000
 PAIRS = 100_000
 TOP = float(1 << 64)
@@ -304,10 +305,14 @@ def classes(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, recall:
     leaves = met(sets.select("sid", F.explode(F.array_distinct("picks")).alias("bucket")))
     large = leaves.filter(F.col("n") > small)
     if not large.isEmpty():
+        # sets that are alike have mostly the same smallest pick; splitting them again would only repeat them
+        lows = large.join(sets.select("sid", F.array_min("picks").alias("low")), "sid").groupBy("bucket", "low").agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"))
+        alike = written(lows.groupBy("bucket").agg((F.max("same") > F.max("n") / 2).alias("alike")).filter("alike").select("bucket"), "alike")
+        stay, large = large.join(alike, "bucket", "left_semi").select(large.columns), large.join(alike, "bucket", "left_anti")
         wanted = sets.join(large.select("sid").distinct(), "sid").select("sid", "text_id")
         members = _texts(docs, wanted).select("sid", "text").mapInArrow(_members(k), "sid binary, grams array<long>")
         again_ = members.join(large.select("sid", "bucket"), "sid").mapInArrow(_split(similarity, again), "sid binary, bucket long").distinct()
-        leaves = written(leaves.filter(F.col("n") <= small).unionByName(met(again_)), "leaves")
+        leaves = written(leaves.filter(F.col("n") <= small).unionByName(stay).unionByName(met(again_)), "leaves")
     lists = leaves.groupBy("sid").agg(F.array_sort(F.collect_list("bucket")).alias("leaves"))  # a few picks for each run
     blocks = F.when(F.col("n") <= small, F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("int")
     placed = (leaves.join(lists, "sid").join(sets.select("sid", "size", "copies"), "sid").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
