@@ -28,9 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Store ``df`` as a warehouse table dealt out by ``key``, so grouping and joining by it need no further shuffle of it."""
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """Store ``df`` as a warehouse table dealt out by ``key``, so grouping and joining by it need no further shuffle of it.
+
+    With ``dealt`` the rows already lie by ``key`` and are written as they come.
+    """
     spark = df.sparkSession
     parts, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").saveAsTable(table)
+    (df if dealt else df.repartition(parts, key)).write.bucketBy(parts, key).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
