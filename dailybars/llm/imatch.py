@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dailybars.plans.cut import written
+from dailybars.plans.cut import bucketed, written
 
 LOW = 0.002
 HIGH = 0.02
@@ -58,12 +58,12 @@ def _following(chunks: DataFrame) -> DataFrame:
 
 
 def _together(df: DataFrame, name: str) -> DataFrame:
-    """Store ``df`` with joins on (chunk, place) left where both sides already lie by chunk."""
+    """Store ``df`` by chunk, with joins on (chunk, place) left where both sides already lie by chunk."""
     conf, key = df.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(key)
     conf.set(key, "false")
     try:
-        return written(df, name)
+        return bucketed(df, "chunk", name, dealt=True)
     finally:
         conf.set(key, before)
 
