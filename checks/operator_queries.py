@@ -10,6 +10,7 @@ from checks import duck_trades as dt
 from checks.duck_features import BARS
 from dailybars.features.build import SECTOR_SYMBOL, build_features, resample, sector_symbols, week_label
 from dailybars.features.build import add_series, last_friday, last_month_end, price_columns
+from dailybars.features.v1_v2 import V1
 from dailybars.features.v3_composite import V3
 from dailybars.operators import clean, filters, incremental, labels, models, quality, reports, scoring, stops, trades
 from dailybars.plans import runs
@@ -270,11 +271,13 @@ add("p14_entry_filters", lambda s, p: filters.apply_entry_filters(ft(s, p), MY_F
 LATEST = "latest as (select * from ft qualify row_number() over (partition by ticker order by date desc) = 1)"
 add("p15_latest_filters", lambda s, p: filters.apply_entry_filters(scoring.latest_rows(ft(s, p)), MY_FILTERS[:2]).select("ticker", "date", "rsi14"),
     f"{FT}, {LATEST} select ticker, date, rsi14 from latest where close_position_in_range > 0.3 and rsi14 <= 0.2", ["rsi14"])
+add("p15_latest_all_filters", lambda s, p: filters.apply_entry_filters(scoring.latest_rows(ft(s, p)), MY_FILTERS).select("ticker", "date", "rsi14"),
+    f"{FT}, {LATEST} select ticker, date, rsi14 from latest where {MY_SQL}", ["rsi14"])
 
 
 def analysed(spark, path, stop="constant", names=FEATURES):
     """Trades with the features of their entry date."""
-    features = ft(spark, path)
+    features = ft(spark, path, names)
     t = trades.run_backtest(features, F.expr(SIGNAL), H, 1000.0, TARGET, STOP[stop]).drop(*trades.STOP_FIELDS)
     return written(scoring.entry_features(written(t, "trades"), features, names), "analysed")
 
@@ -314,6 +317,16 @@ def preset_counts_sql(preset):
 
 add("p17_default_counts", lambda s, p: preset_counts(s, p, filters.DEFAULT_FILTERS), preset_counts_sql(filters.DEFAULT_FILTERS))
 add("p18_recommended_counts", lambda s, p: preset_counts(s, p, filters.RECOMMENDED_FILTERS), preset_counts_sql(filters.RECOMMENDED_FILTERS))
+#: The features of the queries and all of the presets.
+WIDE = [*FEATURES, *sorted({*defined(filters.DEFAULT_FILTERS), *defined(filters.RECOMMENDED_FILTERS)} - {*FEATURES})]
+#: More features than the effects that are shown.
+EFFECTS = [*WIDE, *(n for n in V1 if n in V3 and n not in WIDE)]
+
+
+def wide_sql(names):
+    return f"{dt.table(names)}, {dt.trades(SIGNAL)}, analysed as (select t.*, {', '.join('f.' + n for n in names)} from trades t join ft f on f.ticker = t.ticker and f.date = t.entry_date)"
+
+
 add("p19_timing_filter", lambda s, p: fx.bars(s, p).where(filters.timing_ok()), BARS_SQL + "select * from bars where isodow(date) > 2 and month(date) <> 10", P5)
 add("p20_date_slice", lambda s, p: filters.date_slice(fx.bars(s, p), "1997-01-01", "1998-06-30"), BARS_SQL + "select * from bars where date between '1997-01-01' and '1998-06-30'", P5)
 add("p21_trade_search", lambda s, p: filters.filter_trades(run(s, p), "1996-01-01", "2000-12-31", -0.05, 0.08, "m").select("ticker", "entry_date", "return"),
@@ -479,9 +492,9 @@ add("b06_stop_buckets", lambda s, p: reports.bucketed(run(s, p, "adaptive_atr"),
     f"{FT}, {dt.trades(SIGNAL, 'adaptive_atr')} " + bucket_sql("trades", "stop_loss_pct", reports.STOP_BUCKETS, False), ["pct"])
 
 
-def effect_sql(first, second):
+def effect_sql(first, second, names=FEATURES):
     return "eff as (select *, a - b as difference, (a - b) / nullif(sqrt((sa * sa + sb * sb) / 2), 0) as d from (" + " union all ".join(
-        f"select '{f}' as feature, avg({f}) filter (where {first}) as a, avg({f}) filter (where {second}) as b, stddev_samp({f}) filter (where {first}) as sa, stddev_samp({f}) filter (where {second}) as sb from analysed" for f in FEATURES) + ") where sa > 0)"
+        f"select '{f}' as feature, avg({f}) filter (where {first}) as a, avg({f}) filter (where {second}) as b, stddev_samp({f}) filter (where {first}) as sa, stddev_samp({f}) filter (where {second}) as sb from analysed" for f in names) + ") where sa > 0)"
 
 
 STOPPED, WINNER, WINNER2 = "exit_reason = 'stop_loss'", '"return" > 0', "exit_reason <> 'stop_loss' and \"return\" > 0"
@@ -540,6 +553,14 @@ add("b16_preset_comparison", lambda s, p: reports.preset_comparison(analysed(s,
         f"coalesce(count(*) filter (where ok and {WINNER}) / nullif(count(*) filter (where ok), 0), 0) as win_rate from (select *, {c} as ok from analysed)" for n, c in PRESET_SQL.items())
     + ") select *, winners_excluded_pct = min(winners_excluded_pct) over () as best_winners, stop_losses_excluded_pct = max(stop_losses_excluded_pct) over () as best_stops, win_rate = max(win_rate) over () as best_win_rate from pr",
     ["winners_excluded_pct", "stop_losses_excluded_pct", "win_rate"])
+WHOLE = {"default": filters.DEFAULT_FILTERS, "recommended": filters.RECOMMENDED_FILTERS, "mine": MY_FILTERS}
+WHOLE_SQL = {n: " and ".join(f"coalesce({f} {op} {v}, false)" for f, op, v in preset if f in WIDE) for n, preset in WHOLE.items()}
+add("b16_whole_presets", lambda s, p: reports.preset_comparison(analysed(s, p, names=WIDE), WHOLE),
+    f"{wide_sql(WIDE)}, pr as (" + " union all ".join(
+        f"select '{n}' as preset, count(*) filter (where ok) as remaining_trades, count(*) filter (where not ok and {WINNER}) * 100e0 / count(*) filter (where {WINNER}) as winners_excluded_pct, count(*) filter (where not ok and {BIG}) * 100e0 / count(*) filter (where {BIG}) as stop_losses_excluded_pct, "
+        f"coalesce(count(*) filter (where ok and {WINNER}) / nullif(count(*) filter (where ok), 0), 0) as win_rate from (select *, {c} as ok from analysed)" for n, c in WHOLE_SQL.items())
+    + ") select *, winners_excluded_pct = min(winners_excluded_pct) over () as best_winners, stop_losses_excluded_pct = max(stop_losses_excluded_pct) over () as best_stops, win_rate = max(win_rate) over () as best_win_rate from pr",
+    ["winners_excluded_pct", "stop_losses_excluded_pct", "win_rate"])
 add("b17_run_comparison", lambda s, p: reports.compare_runs(two_runs(s, p), "run_id", 0.1), f"{TWO} select * from {dt.metrics('runs', 'run_id')} where win_rate >= 0.1", dt.METRIC_DOUBLES)
 CAL = "cal as (select cast(unnest(generate_series(min(exit_date), max(exit_date), interval 1 day)) as date) as date from trades)"
 add("b18_equity_curve", lambda s, p: reports.equity_curve(run(s, p)),
@@ -707,18 +728,18 @@ def f03(spark, path):
 
 def f04(spark, path):
     train = matrix(spark, path, "train").withColumn("is_validation", F.lit(False)).unionByName(matrix(spark, path, "validation").withColumn("is_validation", F.lit(True)))
-    m = models.boosted(train, X, "label_5d", trees=10, depth=3, rate=0.1)
+    m = models.boosted(train, X, "label_5d")
     return scoring.evaluate(models.with_probability(m.transform(matrix(spark, path, "test"))), "label_5d", "score")
 
 
 def f05(spark, path):
-    found = models.random_search(matrix(spark, path, "train"), X, "label_5d", n_iter=2, folds=2, by_time=True, space={"trees": [3, 5], "depth": [2, 3], "rate": [0.1]})
+    found = models.random_search(matrix(spark, path, "train"), X, "label_5d", by_time=True)
     return spark.createDataFrame([(str(sorted(p.items())), a) for p, a in found], "parameters string, auc double")
 
 
 def f11(spark, path):
     m = models.logistic_baseline(matrix(spark, path, "train"), X, "label_5d")
-    return quality.importance_table(models.permutation_importance(m, matrix(spark, path, "test"), X[:3], "label_5d"))
+    return quality.importance_table(models.permutation_importance(m, matrix(spark, path, "test"), X, "label_5d"))
 
 
 add("f03_logistic", f03)
@@ -733,6 +754,8 @@ add("s02_top_by_score", lambda s, p: ft(s, p).orderBy(F.col("probability").desc(
     FT + " select ticker, date, probability from ft order by probability desc nulls last, ticker, date limit 10", ["probability"])
 add("s03_top_effects", lambda s, p: reports.stop_vs_winner(analysed(s, p), FEATURES).orderBy(F.col("abs_effect").desc()).limit(5).select("feature"),
     f"{AN}, {effect_sql(STOPPED, WINNER)} select feature from eff where d is not null order by abs(d) desc limit 5")
+add("s03_top_20_effects", lambda s, p: reports.stop_vs_winner(analysed(s, p, names=EFFECTS), EFFECTS).orderBy(F.col("abs_effect").desc()).limit(20).select("feature"),
+    f"{wide_sql(EFFECTS)}, {effect_sql(STOPPED, WINNER, EFFECTS)} select feature from eff where d is not null order by abs(d) desc limit 20")
 add("s04_s05_top_importances", lambda s, p: quality.importance_table(importances(s, p)).where("rank <= 5").select("feature", "rank"),
     f"{IMP_SQL}, {RANKED} select feature, cast(rank as integer) as rank from ranked where rank <= 5")
 add("s06_exit_order", lambda s, p: reports.equity_path(run(s, p)).select("ticker", "entry_date", F.col("pos").cast("bigint").alias("pos"), "equity", "drawdown"),
