@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) are reported whenever their own rule holds; the
 score says how sure a span is: a start value for the kind, more where a checksum
 holds, more or less by words in the ``NEAR`` characters before it.  The method adds
-IBANs that pass the modulo-97 rule, and national numbers (3-2-4 digits) where a
+IBANs that have their country's length and pass the modulo-97 rule (capitals and
+digits may follow as further words), and national numbers (3-2-4 digits) where a
 context word lifts them over ``LEAST``.  Added spans may not overlap others.
 
 Texts are read whole; no pattern goes back over a long run of its own characters.
@@ -37,12 +38,20 @@ FOR = {
 }
 AGAINST = ("example", "version", "isbn", "order", "invoice")
 
+# IBAN lengths of the SWIFT registry.
+LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z][a-z-]*")
 
@@ -57,6 +66,24 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text):
+    """Candidates cut at the length of their country; of other countries the longest part that passes and ends with a word."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, end = match.span()
+        at = start + 1
+        length = LENGTHS.get(text[start:start + 2])
+        while end - start >= 15:
+            size = end - start - text.count(" ", start, end)
+            if size < (length or 15):
+                break
+            if text[end - 1] != " " and text[end:end + 1] not in _ALNUM and length in (None, size) and mod97(text[start:end].replace(" ", "")):
+                yield start, end
+                at = end
+                break
+            end -= 1
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
@@ -93,7 +120,7 @@ def confidence(text: str, kind: str, start: int) -> float:
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and those the method adds."""
     base = base_spans(text)
-    more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    more = [("iban", a, b) for a, b in _ibans(text)]
     more += [("national", *m.span()) for m in _NATIONAL.finditer(text) if confidence(text, "national", m.start()) >= LEAST]
     taken, added = [(a, b) for _, a, b in base], []
     for kind, a, b in more:

@@ -45,3 +45,14 @@ def test_rows(spark):
     assert got == sorted([a, a, ("2", 0, 0, 0, "", sha("")), ("None", 0, 0, 0, "", sha("")), ("3", 0, 0, 1, "phone:4:18", sha("phone:4:18"))])
     assert pd_.report(docs.limit(0)).count() == 0
     assert {r["text"] for r in pd_.redacted(docs).collect()} == {"[email] and [ip]", None, "", "tel [phone]"}
+
+
+def test_ibans_before_capitals_and_digits():
+    for iban, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " PAYMENT DUE"), ("GB82WEST12345698765432", " 12 May"), ("GB82 WEST 1234 5698 7654 32", " A"),
+                        ("NO9386011117947", " 2024 PAID IN FULL"), ("FR1420041010050500013M02606", ", 7"), ("MT84MALT011000012345MTLCAST001S", " Xy"), ("DE89370400440532013000", "")):
+        assert pd_.spans(f"to {iban}{after}")[1] == [("iban", 3, 3 + len(iban))]
+        assert pd_.redact(f"to {iban}{after}") == f"to [iban]{after}"
+    assert pd_.spans("DE89370400440532013000BIC X")[1] == [] and pd_.spans("DE89370400440532013001 BIC")[1] == []
+    two = "XX11 ABCD EFGH IJKL DE89370400440532013000 GB82WEST12345698765432 OK"
+    assert [two[a:b] for _, a, b in pd_.spans(two)[1]] == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert pd_.spans("A1 " * 100_000 + "AB12" * 100_000)[1] == []
