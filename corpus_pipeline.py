@@ -37,7 +37,7 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their size, the words taken and the number of times."""
-    return source_mix.mix_sources(docs).filter("taken > 0").withColumn("times", (F.col("taken") / F.col("size")).cast("long"))
+    return source_mix.mix_sources(docs, fill=True).filter("taken > 0").withColumn("times", (F.col("taken") / F.col("size")).cast("long"))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("privacy", privacy), ("mixing", mixing)]

@@ -7,7 +7,8 @@ target.  Taking a pattern's words a first, second, third time costs 0, 1, 2 a wo
 (convex, so repeats are spread), and no pattern gives more than ``REPEATS`` times
 its words.  A pattern that gives F of its S words repeats every document F // S
 times; the rest goes to whole documents in a seeded order, until the next one
-would exceed it.
+would exceed it.  With ``fill`` every later document that still fits is taken too,
+so a large one at the edge costs no more than itself (the SQL stops at the edge).
 
 The flow is solved on the driver: there are at most ``PATTERNS`` patterns, more are
 an error (they are combinations of source labels, not documents).  Documents are
@@ -101,7 +102,41 @@ def flow(patterns: list, totals: list, quotas: dict, repeats: int = REPEATS) ->
     return [sum(arcs[i ^ 1][1] for i in own) for own in given]
 
 
-def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, carry: tuple = ()) -> tuple[DataFrame, dict, dict]:
+def _filled(rows: DataFrame) -> DataFrame:
+    """Marks the documents that fit one after the other into the rest of their pattern.
+
+    A round takes, in order, what is no larger than the room left, up to the first that
+    exceeds it together with the others; the next begins behind that one.  What a round
+    passed over is larger than its room and so than every later one.
+    """
+    spark = rows.sparkSession
+    at = F.struct("place", "row")
+    state = [(r["p"], None, r["rest"]) for r in rows.filter("rest > 0").select("p", "rest").distinct().collect()]  # one row a pattern
+    rounds = {p: [] for p, _, _ in state}
+    kind = "struct<place:long,row:long>"
+    while state:
+        now = F.broadcast(spark.createDataFrame(state, f"p string, low {kind}, room long"))
+        fit = rows.select("p", "cell", "place", "row", "size").join(now, "p").filter((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("low").isNull() | (at > F.col("low"))))
+        cells = fit.groupBy("p", "cell", "room").agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("p").orderBy("cell"))
+        last = F.broadcast(cells.withColumn("upto", upto).filter(F.col("upto") > F.col("room")).groupBy("p").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("edge")))
+        running = F.col("edge.before") + F.sum("size").over(Window.partitionBy("p").orderBy("place", "row").rowsBetween(Window.unboundedPreceding, 0))
+        over = fit.join(last, "p").filter("cell = edge.cell").withColumn("running", running).filter(F.col("running") > F.col("room"))
+        edges = {r["p"]: r["e"] for r in over.groupBy("p").agg(F.min_by(F.struct("place", "row", (F.col("running") - F.col("size")).alias("used")), at).alias("e")).collect()}
+        following = []
+        for p, low, room in state:
+            edge = edges.get(p)
+            high = edge and (edge["place"], edge["row"])
+            rounds[p].append((low, high, room))
+            if edge and room > edge["used"]:
+                following.append((p, high, room - edge["used"]))
+        state = following
+    plan = F.broadcast(spark.createDataFrame(list(rounds.items()), f"p string, rounds array<struct<low:{kind},high:{kind},room:long>>"))
+    taken = F.exists("rounds", lambda r: (F.col("size") <= r["room"]) & (r["low"].isNull() | (at > r["low"])) & (r["high"].isNull() | (at < r["high"])))
+    return rows.join(plan, "p", "left").withColumn("picked", F.coalesce(taken, F.lit(False)))
+
+
+def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, carry: tuple = (), fill: bool = False) -> tuple[DataFrame, dict, dict]:
     """Every document with its size and the words taken; sizes and targets of the sources.
 
     ``members`` names a column of arrays of sources; ``weights`` repeat over the sources
@@ -111,7 +146,7 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     text = F.coalesce("text", F.lit(""))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 15), 16, 10).cast("long")
     kept = [F.col(c) for c in carry]
-    sized = written(docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("pattern"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), order.alias("place"), *kept), "mix-sizes")
+    sized = written(docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("pattern"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), order.alias("place"), *kept, *[F.monotonically_increasing_id().alias("row")] * fill), "mix-sizes")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} combinations of sources")
@@ -128,6 +163,9 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     named = F.to_json(F.struct("pattern"))
     plan = F.broadcast(plan.select(named.alias("p"), "times", "rest"))  # at most PATTERNS rows
     rows = sized.withColumn("p", named).withColumn("cell", F.shiftright("place", 60 - CELL_BITS)).join(plan, "p", "left")
+    taken = (F.coalesce("times", F.lit(0)) * F.col("size") + F.when(F.col("picked") & (F.col("rest") > 0), F.col("size")).otherwise(0)).alias("taken")
+    if fill:
+        return _filled(rows).select("doc_id", "pattern", "size", taken, *carry), sizes, goal
     cells = rows.groupBy("p", "cell", "rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("p").orderBy("cell"))
     last = F.broadcast(cells.withColumn("upto", upto).filter(F.col("upto") > F.col("rest")).groupBy("p", "rest").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("at"))
@@ -136,14 +174,13 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     running = F.col("before") + F.sum("size").over(Window.partitionBy("p").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.filter("cell = edge").withColumn("picked", running <= F.col("rest"))
     others = rows.filter("edge is null or cell <> edge").withColumn("picked", F.coalesce(F.col("cell") < F.col("edge"), F.lit(True)))
-    taken = (F.coalesce("times", F.lit(0)) * F.col("size") + F.when(F.col("picked") & (F.col("rest") > 0), F.col("size")).otherwise(0)).alias("taken")
     return others.unionByName(edge).select("doc_id", "pattern", "size", taken, *carry), sizes, goal
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, fill: bool = False) -> DataFrame:
     """The mix of documents that name one source each: doc_id, size, source_size, target, taken."""
     spark = docs.sparkSession
-    mixed, sizes, goal = mix(docs.withColumn("members", F.array("source")), "members", weights, repeats, seed)
+    mixed, sizes, goal = mix(docs.withColumn("members", F.array("source")), "members", weights, repeats, seed, fill=fill)
     known = F.broadcast(spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "name string, source_size long, target double"))
     return mixed.join(known, F.col("pattern")[0].eqNullSafe(F.col("name")), "left").select("doc_id", "size", "source_size", "target", "taken")
 

@@ -38,3 +38,23 @@ def test_overlap(spark):
     total = sum(r["taken"] for r in got)
     assert abs(total - sum(int(g + .5) for g in goal.values())) < 7 * 3 and all(r["taken"] <= 3 * r["size"] for r in got)
     assert sorted(map(str, got)) == sorted(map(str, source_mix.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, members array<string>"), "members")[0].collect()))
+
+
+def test_fill(spark):
+    rng = __import__("numpy").random.default_rng(5)
+    rows = [(i, "w " * int(n), s) for s, low in (("a", 1), ("b", 1), ("c", 3)) for i, n in enumerate(rng.integers(low, 40, 60))]
+    rows += [(100 + i, "w " * 900, s) for i, s in enumerate("aabbcc")] + [(7, "w " * 5, "a")] * 9 + [(None, None, "b"), (8, "", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    key = lambda r: (r["source_size"], r["doc_id"] is None, r["doc_id"] or 0, r["size"])
+    short, full = (source_mix.mix_sources(docs, fill=fill).collect() for fill in (False, True))
+    assert len(full) == len(rows) and sorted(map(key, short)) == sorted(map(key, full))
+    less = 0
+    for size in {r["source_size"] for r in full}:
+        mine = [r for r in full if r["source_size"] == size]
+        words = int(mine[0]["target"] + 0.5)
+        taken, before = sum(r["taken"] for r in mine), sum(r["taken"] for r in short if r["source_size"] == size)
+        assert before <= taken <= words and all(r["taken"] in (words // size * r["size"], (words // size + 1) * r["size"]) for r in mine)
+        left = [r["size"] for r in mine if r["size"] and r["taken"] == words // size * r["size"]]
+        assert not left or min(left) > words - taken
+        less += before < taken
+    assert less
