@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dailybars.llm import chosen_path, context_tree, diagonal_licenses, imatch, markov_secrets, personal_data, qgram_decontam, source_mix, subword_bag, suffix_dedup
+from dailybars.llm import chosen_path, context_tree, diagonal_licenses, imatch, markov_secrets, personal_data, qgram_decontam, slot_negatives, source_mix, subword_bag, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,12 @@ def op10_imatch(spark, sf_dir):
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
+def op11_slot_negatives(spark, sf_dir):
+    return slot_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_suffix_dedup, op3_subword_toxicity, op4_source_mix, op5_markov_secrets, op6_qgram_decontam, op7_personal_data,
-    op8_diagonal_licenses, op9_chosen_path, op10_imatch)}
-SQL = {"op4_source_mix": source_mix.SQL, "op9_chosen_path": chosen_path.SQL, "op10_imatch": imatch.SQL}
+    op8_diagonal_licenses, op9_chosen_path, op10_imatch, op11_slot_negatives)}
+SQL = {"op4_source_mix": source_mix.SQL, "op9_chosen_path": chosen_path.SQL, "op10_imatch": imatch.SQL,
+       "op11_slot_negatives": slot_negatives.SQL}
