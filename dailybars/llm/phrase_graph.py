@@ -44,7 +44,7 @@ TOP = 2000
 SHARE = (80, 100)
 CELL_BITS = 26
 RANGE_BITS = 18
-SLICE = 12 << 20
+SLICE = 3 << 20
 
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
