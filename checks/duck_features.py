@@ -13,6 +13,8 @@ from dailybars.functions.terms import Sheet, SparkSyntax
 
 
 class DuckSyntax(SparkSyntax):
+    ordered = False
+
     def values(self, x): return f"list({x})", f"filter (where {x} is not null)"
     def quantile(self, x, q): return f"quantile_cont({x}, {q!r})"
     def last_value(self, x): return f"last_value({x} ignore nulls)"
@@ -113,6 +115,10 @@ def smoothers(source, out, names):
     for p in (14, 20, 50):
         if f"k_adx{p}" in names:
             rules.update(_adx_rules(p))
+    for n in names:
+        if n.startswith("k_wilder"):
+            p = int(n[8:])
+            rules[n] = ("x.c", f"case when x.rn <= {p} then (s.{n} * (x.rn - 1) + x.c) / x.rn else s.{n} * ({p} - 1e0) / {p}e0 + x.c / {p}e0 end")
     if "k_kama" in names:
         rate = "(x.er * (2e0/3e0 - 2e0/31e0) + 2e0/31e0)"
         rules["k_kama"] = ("cast(null as double)",
@@ -159,7 +165,7 @@ def sheet_ctes(sheet, outputs, source, out, keep):
     """One CTE per stage; the last one selects the outputs."""
     stages, _ = sheet.stages(outputs)
     ctes, prev = [], source
-    for i, (passed, made) in enumerate(stages):
+    for i, (passed, made, _) in enumerate(stages):
         through = list(dict.fromkeys([*keep, *passed]))
         name = f"{out}_s{i}"
         ctes.append(f"{name} as (select {', '.join([*through, *(f'{sql} as {n}' for n, sql in made)])} from {prev})")

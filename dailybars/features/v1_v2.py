@@ -9,7 +9,7 @@ from dailybars.features.v3_periods import body, lower, reach, upper
 from dailybars.features.v3_price import V3, chaikin, position, williams
 from dailybars.features.v3_statistics import since_extreme
 from dailybars.features.v3_trend import bollinger_width
-from dailybars.functions.terms import EPS, TIE
+from dailybars.functions.terms import EPS
 
 V1, V2 = FeatureSet(), FeatureSet()
 
@@ -72,10 +72,9 @@ def market_distance(p):
 def market_slope_rank(p):
     """2 * share of the trailing 1260 slopes not above the current one - 1."""
     s = p.keep(m200(p) / (p.lag(m200(p), 60) + EPS))
-    arr = p.values(s, -1259, 0)
-    n = p.syntax.size(arr.sql)
-    below = p.syntax.fold(arr.sql, "0e0", f"acc + case when v <= {s.sql} + {TIE!r} * abs({s.sql}) then 1e0 else 0e0 end")
-    share = p.join(f"(case when {s.sql} is null then null when {n} = 1 then 0.5e0 else {below} / {n} end)", arr, s)
+    n = p.count(s, 1260)
+    _, upto = p.window_counts(s, 1260)
+    share = p.iff(s.is_null(), None, p.iff(n.equals(1), 0.5, upto / n))
     return 2.0 * p.keep(share) - 1.0
 
 

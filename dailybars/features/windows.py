@@ -5,7 +5,6 @@ from __future__ import annotations
 from dailybars.features.registry import FeatureSet
 from dailybars.features.v3_price import first_of_year
 from dailybars.features.v3_periods import V3
-from dailybars.functions.terms import TIE
 
 WINDOWS = FeatureSet(V3)
 
@@ -13,11 +12,9 @@ WINDOWS = FeatureSet(V3)
 def percentile_position(p, x, w, m=1):
     """(values not above the current one - 1) / (values - 1) * 100; 50 for a single value."""
     x = p.keep(x)
-    arr = p.values(x, -(w - 1), 0)
-    n = p.syntax.size(arr.sql)
-    at = p.syntax.fold(arr.sql, "0e0", f"acc + case when v <= {x.sql} + {TIE!r} * abs({x.sql}) then 1e0 else 0e0 end")
-    return p.keep(p.join(f"(case when {x.sql} is null or {n} < {m} then null when {n} = 1 then 50e0 "
-                         f"else ({at} - 1e0) / ({n} - 1e0) * 100e0 end)", arr, x))
+    n = p.count(x, w)
+    _, at = p.window_counts(x, w)
+    return p.keep(p.iff(x.is_null() | (n < m), None, p.iff(n.equals(1), 50.0, (at - 1.0) / (n - 1.0) * 100.0)))
 
 
 WINDOWS.block(
@@ -29,6 +26,7 @@ WINDOWS.block("w04 atr", w_atr=lambda p: p.atr(14))
 WINDOWS.block("w05 rsi", w_rsi=lambda p: p.rsi(14))
 WINDOWS.block("w06 ema", w_ema=lambda p: p.base("k_ema12"), w_ewm=lambda p: p.base("k_vol_sq"))
 WINDOWS.block("w07 adaptive", w_kama=lambda p: p.base("k_kama"), w_signal=lambda p: p.base("k_macd_sig"))
+WINDOWS.block("w07 wilder", w_wilder=lambda p: p.base("k_wilder14"))
 WINDOWS.block("w08 adx", w_adx=lambda p: p.base("k_adx14"))
 WINDOWS.block("w09 percentile rank", w_rank=lambda p: percentile_position(p, p.C, 100))
 WINDOWS.block("w10 average rank", w_prank=lambda p: p.prank(p.C, 100))

@@ -74,6 +74,9 @@ class Term:
 class SparkSyntax:
     """Window-aggregate spellings that differ between SQL engines."""
 
+    #: counts of a window below a limit are columns of their own (plans.order_stats), not folds over arrays
+    ordered = True
+
     def values(self, x): return f"collect_list({x})", ""
     def quantile(self, x, q): return f"percentile({x}, {q!r})"
     def last_value(self, x): return f"last_value({x}) ignore nulls"
@@ -129,6 +132,7 @@ class Sheet:
         self.constants = constants or {}
         self.windows = {}      # sql -> (name, level, deps)
         self.temps = {}        # sql -> (name, level, temp, deps)
+        self.counts = {}       # (value, tolerance, rows) -> (name, level, deps)
         self.used_base = set()
         self._features = {}
         self._building = []
@@ -255,20 +259,42 @@ class Sheet:
         head, tail = self.syntax.values(x.sql)
         return self.window(f"{head} {tail} {self.frame(lo, hi)}", [x], -lo)
 
-    def prank(self, x, w, m=1, scale=None):
-        """Average rank of the current value within its window, as a share.
+    def window_counts(self, x, w, scale=None):
+        """How many values of the last ``w`` rows lie below the current one, and how many not above it.
 
         Values tie if they differ by at most ``TIE`` of ``scale`` (the current value, or what a small difference
         of large numbers was made from), so last bits do not matter in any unit.
         """
         x = self.keep(x)
         scale = x if scale is None else self.keep(scale)
-        arr = self.values(x, -(w - 1), 0)
         near = f"{TIE!r} * abs({scale.sql})"
-        twice = self.syntax.fold(arr.sql, "0e0", f"acc + case when v < {x.sql} - {near} then 2e0 when v <= {x.sql} + {near} then 1e0 else 0e0 end")
-        size = self.syntax.size(arr.sql)
+        if not self.syntax.ordered:
+            arr = self.values(x, -(w - 1), 0)
+            count = lambda sign: self.join(self.syntax.fold(arr.sql, "0e0", f"acc + case when v {sign} {near} then 1e0 else 0e0 end"), arr, x, scale)
+            return count(f"< {x.sql} -"), count(f"<= {x.sql} +")
+        key = (x.sql, near, w)
+        if key not in self.counts:
+            self.n += 1
+            self.counts[key] = (f"n{self.n}", max(x.level, scale.level) + 1, x.deps | scale.deps | {"ticker", "blk", "rn"})
+        name, level, _ = self.counts[key]
+        back = max(x.back, scale.back) + w - 1
+        return tuple(Term(self, f"{name}{k}", level, 0, back, frozenset([f"{name}{k}"])) for k in "ba")
+
+    def prank(self, x, w, m=1, scale=None):
+        """Average rank of the current value within its window, as a share (see ``window_counts`` for ties)."""
+        x = self.keep(x)
+        if not self.syntax.ordered:
+            scale = x if scale is None else self.keep(scale)
+            arr, near = self.values(x, -(w - 1), 0), f"{TIE!r} * abs({scale.sql})"
+            twice = self.syntax.fold(arr.sql, "0e0", f"acc + case when v < {x.sql} - {near} then 2e0 when v <= {x.sql} + {near} then 1e0 else 0e0 end")
+            size = self.syntax.size(arr.sql)
+            return self.keep(self.join(
+                f"(case when {x.sql} is not null and {size} >= {m} then ({twice} + 1e0) / 2e0 / nullif({size}, 0e0) end)", arr, x, scale))
+        below, upto = self.window_counts(x, w, scale)
+        size = self.count(x, w)
         return self.keep(self.join(
-            f"(case when {x.sql} is not null and {size} >= {m} then ({twice} + 1e0) / 2e0 / nullif({size}, 0e0) end)", arr, x, scale))
+            f"(case when {x.sql} is not null and {size.sql} >= {m} then ({below.sql} + {upto.sql} + 1e0) / 2e0 / nullif(cast({size.sql} as double), 0e0) end)",
+            x, below, upto, size))
 
     def corr(self, a, b, w, m=1, prev=False, whole=False):
         """Pearson correlation, null pairs skipped, null when a side is constant."""
@@ -412,20 +438,25 @@ class Sheet:
 
     # ---- stages ---------------------------------------------------------
     def stages(self, outputs):
-        """Ordered (kind, [(name, sql)]) steps with only the columns still needed."""
+        """Ordered (passed, [(name, sql)], [(name, counts)]) steps with only the columns still needed."""
         steps = {}
         for sql, (name, level, deps) in self.windows.items():
             steps.setdefault((level, 0), []).append((name, sql, deps))
         for sql, (name, level, temp, deps) in self.temps.items():
             steps.setdefault((level, temp), []).append((name, sql, deps))
+        for key, (name, level, deps) in self.counts.items():
+            steps.setdefault((level, 0), []).append((name, key, deps))
         live = frozenset().union(*(t.deps for t in outputs.values()))
         plan = []
         for key in sorted(steps, reverse=True):
-            items = [(n, s, d) for n, s, d in steps[key] if n in live]
+            needed = lambda name, made: name in live if isinstance(made, str) else {f"{name}b", f"{name}a"} & live
+            items = [(n, s, d) for n, s, d in steps[key] if needed(n, s)]
             if not items:
                 continue
-            made = {n for n, _, _ in items}
-            passed = sorted(live - made)
-            plan.append((passed, [(n, s) for n, s, _ in items]))
+            plain = [(n, s) for n, s, _ in items if isinstance(s, str)]
+            counts = [(n, s) for n, s, _ in items if not isinstance(s, str)]
+            passed = sorted(live - {n for n, _ in plain})
+            plan.append((passed, plain, counts))
+            made = {n for n, _ in plain} | {f"{n}{k}" for n, _ in counts for k in "ba"}
             live = (live - made).union(*(d for _, _, d in items))
         return list(reversed(plan)), sorted(live)

@@ -9,11 +9,36 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from dailybars.operators.filters import date_slice, passes_all
 from dailybars.operators.stops import StopConfig, stop_columns, stop_config
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks, number_rows
+from dailybars.plans.cut import written
 
 TRADE_FIELDS = ["ticker", "entry_date", "entry_price", "exit_date", "exit_price", "return", "pnl", "holding_days", "exit_reason"]
 STOP_FIELDS = ["stop_loss_pct", "used_swing_low", "swing_distance_pct", "buffer_pct"]
 
 
+class FirstExit:
+    """First row at or behind a start whose low lies below one price or whose high reaches another, for many starts at once.
+
+    Tables hold the lowest low and the highest high of every stretch of 1, 2, 4, ... rows; a search skips
+    stretches without an exit, longest first, so it costs the logarithm of its reach and no path is made.
+    """
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, reach: int):
+        self.low, self.high = [low], [high]
+        while 2 ** len(self.low) <= reach and 2 ** len(self.low) <= len(low):
+            half = 2 ** (len(self.low) - 1)
+            self.low.append(np.fmin(self.low[-1][:-half], self.low[-1][half:]))
+            self.high.append(np.fmax(self.high[-1][:-half], self.high[-1][half:]))
+
+    def find(self, start: np.ndarray, end: np.ndarray, leaves) -> np.ndarray:
+        """Row of the first exit in [start, end), else ``end``; ``leaves(low, high)`` tells if such a stretch holds one."""
+        at = start.copy()
+        for k in range(len(self.low) - 1, -1, -1):
+            whole = np.flatnonzero(at + 2 ** k <= end)
+            free = ~leaves(self.low[k][at[whole]], self.high[k][at[whole]], whole)
+            at[whole[free]] += 2 ** k
+        return at
+
+
 def candidate_exits(bars: DataFrame, signal: str, horizon: int, position_size: float = 1000.0,
                     return_threshold: float | None = None, stops: StopConfig | None = None,
                     entry_lag: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -23,40 +48,51 @@ def candidate_exits(bars: DataFrame, signal: str, horizon: int, position_size: f
     On each later row the stop is looked at first (an open below it fills at the
     open, a low or close below it at the stop), then the close against the
     target; on the horizon row the open is used instead.  Without enough rows
-    the trade ends at the ticker's last close.
+    the trade ends at the ticker's last close.  Only signal rows are searched from (``FirstExit``).
     """
     numbered = bars if "rn" in bars.columns else number_rows(bars)
     stop = stop_columns(stops, numbered.columns, "entry_price") if stops else {}
-    frame = into_blocks(numbered, entry_lag, horizon, size)
-    order = W.partitionBy("ticker", "blk").orderBy("rn")
+    read = [c for c in numbered.columns if c in ("ticker", "date", "rn", "n_rows", "open", "low", "close", signal)]
+    read += [c for c in _signal_columns(numbered, signal) if c not in read and (c.lower() == "atr14_normalized" or c.lower().startswith("swing_low_"))]
+    frame = into_blocks(numbered.select(*read), entry_lag, horizon, size)
     if entry_lag:
-        frame = frame.withColumns({c: F.lag(c, entry_lag).over(order) for c in _signal_columns(numbered, signal)})
-    day = F.struct("rn", "date", "open", "low", "close")
-    frame = frame.withColumn("path", F.collect_list(day).over(order.rowsBetween(1, horizon)))
-    rows = frame.where(F.col("own") & F.col(signal)).withColumn("entry_price", F.col("open")).withColumns(stop)
-    at = F.col("entry_price")
-    floor = at * (1 - F.col("stop_loss_pct")) if stops else F.lit(None).cast("double")
-    stopped = lambda x: (x["open"] < floor) | (x["low"] < floor) | (x["close"] < floor)
-    last = lambda x: x["rn"] == F.col("rn") + horizon
-    reached = lambda price: F.lit(False) if return_threshold is None else price / at - 1 >= return_threshold
-    leaves = lambda x: F.coalesce(stopped(x), F.lit(False)) | last(x) | reached(x["close"])
-    out = rows.withColumn("x", F.get(F.filter("path", leaves), F.lit(0)))
-    end = F.coalesce(F.get("path", F.size("path") - 1), day)
-    x = F.col("x")
-    hit = F.coalesce(stopped(x), F.lit(False))
-    reason = (F.when(x.isNull(), "end_of_data").when(hit, "stop_loss")
-              .when(last(x), F.when(reached(x["open"]), "target_reached").otherwise("time_limit"))
-              .otherwise("target_reached"))
-    price = (F.when(x.isNull(), end["close"]).when(hit, F.when(x["open"] < floor, x["open"]).otherwise(floor))
-             .when(last(x), x["open"]).otherwise(x["close"]))
-    out = out.withColumns({
-        "exit_reason": reason, "exit_price": price,
-        "exit_date": F.coalesce(x["date"], end["date"]), "exit_rn": F.coalesce(x["rn"], end["rn"]),
-        "entry_date": F.col("date"),
-    }).where("exit_price is not null")
-    gain = F.col("exit_price") / at - 1
-    out = out.withColumns({"return": gain, "pnl": gain * position_size,
-                           "holding_days": F.datediff("exit_date", "entry_date")})
+        order = W.partitionBy("ticker", "blk").orderBy("rn")
+        frame = frame.withColumns({c: F.lag(c, entry_lag).over(order) for c in _signal_columns(numbered, signal) if c in read})
+    frame = frame.withColumn("entry_price", F.col("open")).withColumns(stop)
+    narrow = frame.select("ticker", "blk", "rn", "date", "open", "low", "close", (F.col("own") & F.coalesce(F.col(signal), F.lit(False))).alias("enters"), *stop)
+
+    names, stopped = list(stop), stops is not None
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", ignore_index=True)
+        entry = np.flatnonzero(pdf["enters"].to_numpy())
+        price = {c: pdf[c].to_numpy(float) for c in ("open", "low", "close")}
+        at = price["open"][entry]
+        floor = at * (1 - pdf["stop_loss_pct"].to_numpy(float)[entry]) if stopped else np.full(len(entry), np.nan)
+        target = np.nan if return_threshold is None else return_threshold
+        with np.errstate(invalid="ignore", divide="ignore"):
+            leaves = lambda low, high, i: (low < floor[i]) | (high / at[i] - 1 >= target)
+            lowest = np.fmin(np.fmin(price["open"], price["low"]), price["close"])
+            end = np.minimum(entry + horizon, len(pdf))  # the horizon row is an exit by itself
+            x = FirstExit(lowest, price["close"], horizon).find(entry + 1, np.maximum(end, entry + 1), leaves)
+            out_of_rows = x >= len(pdf)
+            x = np.minimum(x, len(pdf) - 1)
+            hit = ~out_of_rows & (lowest[x] < floor)
+            last = ~out_of_rows & (x == entry + horizon)
+            reached = price["open"][x] / at - 1 >= target
+        reason = np.select([out_of_rows, hit, last & reached, last], ["end_of_data", "stop_loss", "target_reached", "time_limit"], "target_reached")
+        paid = np.select([out_of_rows, hit & (price["open"][x] < floor), hit, last], [price["close"][x], price["open"][x], floor, price["open"][x]], price["close"][x])
+        made = pdf.loc[entry, ["ticker", "rn", "date", *names]].reset_index(drop=True)
+        return made.assign(entry_price=at, exit_price=paid, exit_reason=reason, exit_rn=pdf["rn"].to_numpy()[x], exit_date=pdf["date"].to_numpy()[x])
+
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    schema = ", ".join([f"ticker {kinds['ticker']}, rn bigint, date {kinds['date']}", *(f"{c} {kinds[c]}" for c in stop),
+                        f"entry_price double, exit_price double, exit_reason string, exit_rn bigint, exit_date {kinds['date']}"])
+    found = narrow.groupBy("ticker", "blk").applyInPandas(exits, schema)
+    null_if_nan = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("entry_price", "exit_price")}
+    gain = F.col("exit_price") / F.col("entry_price") - 1
+    out = found.withColumns(null_if_nan).where("exit_price is not null").withColumnRenamed("date", "entry_date").withColumns({
+        "return": gain, "pnl": gain * position_size, "holding_days": F.datediff("exit_date", "entry_date")})
     return out.select(*TRADE_FIELDS, *stop, "rn", "exit_rn")
 
 
@@ -81,6 +117,7 @@ def non_overlapping(candidates: DataFrame, horizon: int, size: int = BLOCK_ROWS)
     such entry leads (at most horizon + 2 rows), the reports of a ticker are
     chained, and the blocks are then walked in parallel from their known start.
     """
+    candidates = written(candidates, "candidates")  # read for the reports and again for the walk
     blocks = candidates.withColumn("blk", F.floor((F.col("rn") - 1) / F.lit(size)))
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:

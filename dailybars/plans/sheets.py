@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks
+from dailybars.plans.order_stats import window_counts
 
 
 def run_sheet(df: DataFrame, sheet, outputs, keep=("date",), size: int = BLOCK_ROWS) -> DataFrame:
@@ -20,7 +21,12 @@ def run_sheet(df: DataFrame, sheet, outputs, keep=("date",), size: int = BLOCK_R
     frame = into_blocks(df.select(*need, "n_rows") if "n_rows" not in need else df.select(*need), back, size=size)
     frame = frame.select(*need, "blk", "own")
     stay = list(dict.fromkeys([*carried, "blk", "own"]))
-    for passed, made in stages:
+    if any(counts for *_, counts in stages):
+        frame = frame.repartition("ticker", "blk").sortWithinPartitions("ticker", "blk", "rn")
+    for passed, made, counts in stages:
         through = list(dict.fromkeys([*stay, *passed]))
+        if counts:
+            frame = frame.withColumn("counts", window_counts([key for _, key in counts]))
+            frame = frame.withColumns({f"{n}{k}": F.col(f"counts.{k}{i}") for i, (n, _) in enumerate(counts) for k in "ba"}).drop("counts")
         frame = frame.selectExpr(*through, *(f"{sql} as {name}" for name, sql in made))
     return frame.where("own").selectExpr(*carried, *(f"{t.sql} as {n}" for n, t in outputs.items()))

@@ -9,7 +9,6 @@ from dailybars.features.build import build_features
 from dailybars.features.v1_v2 import V1, V2
 from dailybars.features.v3_price import V3
 from dailybars.plans.blocks import into_blocks, number_rows
-from dailybars.plans.kernels import add_kernels
 
 SOME = ["sma20_ratio", "rsi14", "volatility_21d", "atr14_normalized", "roc10", "ytd_return", "trend_duration", "trend_residual",
         "momentum_rank", "momentum_divergence", "price_skewness_20d", "price_kurtosis_20d", "high_volatility_flag", "ema20_ratio",
@@ -100,31 +99,6 @@ def test_anchored_run_equals_loop(spark):
         assert got.tolist() == want and jumps.tolist() == jump
 
 
-def test_smoothers_with_warm_up_equal_whole_history(spark):
-    rng = np.random.default_rng(5)
-    c = 100 * np.cumprod(1 + rng.normal(0, 0.02, 3000))
-    pdf = pd.DataFrame({"ticker": "A", "date": pd.bdate_range("2000-01-03", periods=3000).date, "h": c * 1.01, "l": c * 0.99, "c": c})
-    numbered = number_rows(spark.createDataFrame(pdf))
-    names = ["k_ema26", "k_adx14", "k_macd_sig", "k_vol_sq"]
-    whole = add_kernels(numbered, names).orderBy("rn").toPandas()
-    cut = add_kernels(numbered, names, block=500, warm_up=1200).orderBy("rn").toPandas()
-    assert len(cut) == 3000
-    for n in names:
-        same(cut[n], whole[n], 1e-10)
-
-
-def test_wilder_and_kama_equal_loops():
-    from dailybars.plans.kernels import kama, wilder
-    rng = np.random.default_rng(1)
-    x = pd.Series(rng.normal(1, 0.2, 80))
-    out = [x[0]]
-    for i in range(1, 80):
-        out.append(x[:i + 1].mean() if i < 14 else out[-1] * 13 / 14 + x[i] / 14)
-    np.testing.assert_allclose(wilder(x, 14), out)
-    k = kama(x)
-    assert k[:9].isna().all() and k[10:].notna().all()
-
-
 def test_numbering_counts_within_ticker(walk):
     pdf, bars, _, _ = walk
     got = number_rows(bars).toPandas().sort_values(["ticker", "date"])

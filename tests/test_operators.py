@@ -265,3 +265,17 @@ def test_windows_share_one_exchange(walk):
     base = written(number_rows(price_columns(walk[1])), "base")
     plan = run_sheet(base, sheet, outputs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") >= 2 and plan.count("Sort [") == 1
+
+
+def test_first_exit_equals_a_walk():
+    rng = np.random.default_rng(3)
+    low, high = rng.normal(0, 1, 300), rng.normal(0, 1, 300)
+    low[rng.random(300) < 0.1] = np.nan
+    start = rng.integers(0, 300, 200)
+    for reach in (1, 2, 7, 64, 100):
+        end = np.minimum(start + rng.integers(0, reach + 1, 200), 300)
+        floor, top = rng.normal(-2, 0.5, 200), rng.normal(2, 0.5, 200)
+        floor[:20] = np.nan
+        got = trades.FirstExit(low, high, reach).find(start, end, lambda lo, hi, i: (lo < floor[i]) | (hi >= top[i]))
+        want = [next((j for j in range(a, b) if low[j] < f or high[j] >= t), b) for a, b, f, t in zip(start, end, floor, top)]
+        assert got.tolist() == want
