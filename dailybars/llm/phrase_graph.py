@@ -11,10 +11,11 @@ own piece ends, and so on to single words, so no shorter gram is gathered from
 the texts.
 
 Two things keep the graph small, and both leave counts of ``least`` or more exact.
-First, words and pairs are counted in ``2 ** CELL_BITS`` cells by hash; what shares
-its cell with fewer than ``least`` occurrences cannot be in a phrase, so pieces end
-there.  The cells become a bitmap of fixed size (8 MB), the only thing sent
-to every task.  Second, edges of ``least`` or more are compacted: while a node has
+First, grams of one to four words are counted in ``2 ** CELL_BITS`` cells by hash; what
+shares its cell with fewer than ``least`` occurrences is not a phrase and in none, so
+the gram that starts at a word ends before it, as at the end of a piece.  The cells
+become a bitmap of fixed size (16 MB), the only thing sent to every task; where a
+corpus fills all cells, fewer grams are cut and more are shuffled.  Second, edges of ``least`` or more are compacted: while a node has
 one edge in, one edge out and no other flow, its edges are one path, found by
 pointer doubling.  A passage copied a thousand times is one row, and what
 stands inside a path is known to lie within a longer phrase of the same count.
@@ -42,7 +43,7 @@ from dailybars.plans.cut import written
 LEAST = 30
 TOP = 2000
 SHARE = (80, 100)
-CELL_BITS = 26
+CELL_BITS = 27
 RANGE_BITS = 18
 SLICE = 3 << 20
 
@@ -72,10 +73,13 @@ class Words:
         self.stream[np.repeat(self.at, self.length) + inner] = low[np.repeat(start, self.length) + inner]
 
     def cells(self, seeds, bits):
-        """Cells of all words, and of every word with the one behind it."""
-        key = self.hash ^ seeds[self.lang]
-        shift = np.uint64(64 - bits)
-        return batches.mix(key, 1) >> shift, batches.mix(key[:-1] * np.uint64(3) ^ self.hash[1:], 2) >> shift
+        """For one to four words which grams lie in a piece, and the cells of all that start at each word."""
+        key, inside = batches.mix(self.hash ^ seeds[self.lang], 1), np.ones(self.n, bool)
+        for k in range(1, 5):
+            yield inside, (key >> np.uint64(64 - bits)).astype(np.uint32)
+            following = np.append(self.hash[k:], np.zeros(min(k, self.n), np.uint64))
+            key = batches.mix(key * np.uint64(3) ^ following, k + 1)
+            inside = inside & np.append(self.on[k - 1:], np.zeros(min(k - 1, self.n), bool))
 
     def texts(self, first, last):
         """The stretches from word ``first`` to word ``last`` as an Arrow column."""
@@ -118,8 +122,7 @@ def _count_cells(least, bits):
             if not part.n:
                 continue
             cells = np.zeros(1 << bits, np.uint8) if cells is None else cells
-            one, two = part.cells(seeds, bits)
-            at, times = np.unique(np.concatenate([one, two[part.on[:-1]]]).astype(np.int64), return_counts=True)
+            at, times = np.unique(np.concatenate([cell[inside] for inside, cell in part.cells(seeds, bits)]), return_counts=True)
             cells[at] = np.minimum(cells[at] + times, least)
             for lang, n in zip(langs.to_pylist(), np.bincount(part.lang, minlength=len(langs)).tolist()):
                 words[lang] = words.get(lang, 0) + n
@@ -166,25 +169,25 @@ def _longest_grams(bitmap, bits):
     """The longest gram that starts at each word, counted for every slice."""
     def find(tables):
         powers, held = batches.Powers(), np.frombuffer(bitmap.value, np.uint8)
-        often = lambda cell: (held[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
+        often = lambda cell: (held[cell >> np.uint32(3)] >> (7 - (cell & np.uint32(7))).astype(np.uint8)) & 1 == 1
         for part, langs, seeds in _slices(tables, powers):
             if not part.n:
                 continue
-            one, two = part.cells(seeds, bits)
-            word = often(one)
-            on = part.on & word
-            on[:-1] &= word[1:] & often(two)
-            far = np.concatenate([on, np.zeros(3, bool)])
-            size = 1 + on + (on & far[1:-2]) + (on & far[1:-2] & far[2:-1])
+            size, on = np.zeros(part.n, np.int64), np.ones(part.n, bool)
+            for inside, cell in part.cells(seeds, bits):
+                on = on & inside & often(cell)
+                size += on
             number = part.numbers()
             several = int(number.max()) + 1
             named = part.lang * several + number
             pair = np.zeros(part.n + 2, np.int64)
-            at = np.flatnonzero(on)
+            needed = size > 1
+            needed[np.flatnonzero(size == 4) + 2] = True
+            at = np.flatnonzero(needed)
             kinds, pair[at] = np.unique(named[at] * several + number[np.minimum(at + 1, part.n - 1)], return_inverse=True)
             third = np.append(number, [0, 0])
             for k in (1, 2, 3, 4):
-                at = np.flatnonzero((size == k) & word)
+                at = np.flatnonzero(size == k)
                 key = (named[at], pair[at], pair[at] * several + third[at + 2], pair[at] * len(kinds) + pair[at + 2])[k - 1]
                 _, first, times = np.unique(key, return_index=True, return_counts=True)
                 first = at[first]
