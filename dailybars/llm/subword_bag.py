@@ -85,29 +85,40 @@ def _softmax(z):
     return z / z.sum(1, keepdims=True)
 
 
-def fit(texts: list, labels: list, prior: float, steps: int = STEPS, width: int = WIDTH, rate: float = RATE, seed: int = SEED, cells: int = CELLS) -> Model:
-    """Vectors and softmax learned jointly by gradient steps on small batches."""
+def bags(body, offsets, sizes=SIZES, cells=CELLS):
+    """Distinct cells of every document of a slice and how often it has each, both as 32-bit numbers."""
+    found, of = subwords(body, offsets, sizes, cells)
+    key, times = np.unique(of * cells + found, return_counts=True)
+    edges = np.searchsorted(key, np.arange(1, len(offsets) - 1) * cells)
+    return list(zip(np.split((key % cells).astype(np.int32), edges), np.split(times.astype(np.int32), edges))) if len(offsets) > 1 else []
+
+
+def fit(texts: list, labels: list, prior: float, cells: int = CELLS, **options) -> Model:
+    """A model fitted on whole texts (see ``fit_bags``)."""
+    body, offsets = batches.utf8(pa.array(texts, pa.string()))
+    held = [b for _, _, part, edges in batches.slices(body, offsets, 1 << 20) for b in bags(part, edges, cells=cells)]
+    return fit_bags(held, labels, prior, cells=cells, **options)
+
+
+def fit_bags(held: list, labels: list, prior: float, steps: int = STEPS, width: int = WIDTH, rate: float = RATE, seed: int = SEED, cells: int = CELLS) -> Model:
+    """Vectors and softmax learned jointly by gradient steps on small batches of bags (cells and their counts)."""
     prior = min(max(prior, 0.0), 1.0)
     edge = 1e-9
     log_prior = math.log((prior + edge) / (1 - prior + edge))
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(np.full(cells, np.nan), log_prior)
-    bags = []
-    body, offsets = batches.utf8(pa.array(texts, pa.string()))
-    for row, end, part, edges in batches.slices(body, offsets, 1 << 20):
-        found, of = subwords(part, edges, cells=cells)
-        order = np.argsort(of, kind="stable")
-        bags += np.split(found[order], np.searchsorted(of[order], np.arange(1, end - row)))
-    held_by = np.bincount(np.concatenate([np.unique(b) for b in bags]), minlength=cells)
+    held_by = np.zeros(cells, np.int64)
+    for cell, _ in held:
+        held_by[cell] += 1
     common = held_by >= LEAST
-    bags = [b[common[b]] for b in bags]
+    held = [(c[common[c]], n[common[c]].astype(np.float32)) for c, n in held]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.001, (cells, width)).astype(np.float32)
     top, bias = rng.normal(0, 1, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
     done, per_epoch = 0, -(-len(y) // BATCH)
     steps = per_epoch * -(-steps // per_epoch)
-    used = np.array([len(b) for b in bags])
+    many, used = np.array([len(c) for c, _ in held]), np.array([n.sum() for _, n in held])
     for _ in range(steps // per_epoch):
         for rows in np.array_split(rng.permutation(len(y)), per_epoch):
             now = rate * (1 - done / steps)
@@ -115,17 +126,17 @@ def fit(texts: list, labels: list, prior: float, steps: int = STEPS, width: int
             rows = rows[used[rows] > 0]
             if not len(rows):
                 continue
-            flat = np.concatenate([bags[i] for i in rows])
-            edges = np.cumsum(used[rows]) - used[rows]
-            mean = np.add.reduceat(vectors[flat], edges, axis=0) / used[rows, None]
+            flat, times = (np.concatenate([held[i][k] for i in rows]) for k in (0, 1))
+            edges = np.cumsum(many[rows]) - many[rows]
+            mean = np.add.reduceat(vectors[flat] * times[:, None], edges, axis=0) / used[rows, None]
             scaled = mean * SCALE
             error = _softmax(scaled @ top + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
             error /= len(rows)
             back = (error @ top.T * SCALE / used[rows, None]).astype(np.float32)
-            own = np.repeat(np.arange(len(rows)), used[rows])
+            own = np.repeat(np.arange(len(rows)), many[rows])
             cell, at = np.unique(flat, return_inverse=True)
-            step = np.stack([np.bincount(at, weights=back[own, k], minlength=len(cell)) for k in range(width)], 1).astype(np.float32)
+            step = np.stack([np.bincount(at, weights=back[own, k] * times, minlength=len(cell)) for k in range(width)], 1).astype(np.float32)
             vectors[cell] -= now * step
             top -= (now / SCALE * (scaled.T @ error)).astype(np.float32)
             bias -= (now * error.sum(0)).astype(np.float32)
@@ -134,7 +145,7 @@ def fit(texts: list, labels: list, prior: float, steps: int = STEPS, width: int
     return Model(np.where(common, (vectors @ (top[:, 1] - top[:, 0])).astype(float) * SCALE, np.nan), moved)
 
 
-def _scores(model, text):
+def _scores(model, text, name):
     def scores(tables):
         for batch in tables:
             body, offsets = batches.utf8(batch.column(text))
@@ -143,29 +154,42 @@ def _scores(model, text):
                 found, of = subwords(part, edges, cells=len(model.weights))
                 out.append(model.score(found, of, end - row))
             score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
     return scores
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with their ``score`` (a column of that name is replaced)."""
-    rest = docs.drop("score")
-    return rest.mapInArrow(_scores(model, rest.columns.index("text")), T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with their score as ``name`` (a column of that name is replaced)."""
+    rest = docs.drop(name)
+    return rest.mapInArrow(_scores(model, rest.columns.index("text"), name), T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id, fold: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % fold == 0
 
 
+def _sampled_bags(tables):
+    """Bags of the texts of a batch as bytes; texts stay on the executors."""
+    for batch in tables:
+        body, offsets = batches.utf8(batch.column("text"))
+        held = [b for _, _, part, edges in batches.slices(body, offsets, 1 << 20) for b in bags(part, edges)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("toxic"), batch.column("place"), *(pa.array([b[k].tobytes() for b in held], pa.binary()) for k in (0, 1))],
+            names=["toxic", "place", "cells", "times"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the training rows of ``labels`` (doc_id, toxic)."""
+    """Fit on the training rows of ``labels`` (doc_id, toxic); of documents that repeat an id the first text counts."""
     known = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     total, ones = known.agg(F.count("toxic"), F.sum("toxic")).first()
     order = F.md5(F.col("doc_id").cast("string"))
-    chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
-    rows = chosen[0].unionByName(chosen[1]).join(docs.select("doc_id", "text"), "doc_id").orderBy(order, "text", "toxic").collect()  # at most 2 * sample labels
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], (ones or 0) / total if total else 0.0)
+    chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample).withColumn("nth", F.monotonically_increasing_id()) for k in (0, 1)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 * sample rows
+    single = rows.groupBy("doc_id", "toxic", "nth").agg(F.min("text").alias("text")).withColumn("place", F.concat_ws(":", order, "toxic", "nth"))
+    held = single.select("toxic", "place", "text").mapInArrow(_sampled_bags, "toxic int, place string, cells binary, times binary").orderBy("place").collect()
+    return fit_bags([(np.frombuffer(r["cells"], np.int32), np.frombuffer(r["times"], np.int32)) for r in held], [r["toxic"] for r in held],
+                    (ones or 0) / total if total else 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
