@@ -140,12 +140,12 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     """Every document with its size and the words taken; sizes and targets of the sources.
 
     ``members`` names a column of arrays of sources; ``weights`` repeat over the sources
-    by code point, null last; ``carry`` names further columns to keep.
+    by code point, null last; ``carry`` names columns to keep in a struct ``kept``.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))), 1, 15), 16, 10).cast("long")
-    kept = [F.col(c) for c in carry]
+    kept = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("kept")] if carry else []
     sized = written(docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("pattern"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), order.alias("place"), *kept, *[F.monotonically_increasing_id().alias("row")] * fill), "mix-sizes")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
@@ -163,9 +163,10 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     named = F.to_json(F.struct("pattern"))
     plan = F.broadcast(plan.select(named.alias("p"), "times", "rest"))  # at most PATTERNS rows
     rows = sized.withColumn("p", named).withColumn("cell", F.shiftright("place", 60 - CELL_BITS)).join(plan, "p", "left")
-    taken = (F.coalesce("times", F.lit(0)) * F.col("size") + F.when(F.col("picked") & (F.col("rest") > 0), F.col("size")).otherwise(0)).alias("taken")
+    copies = F.when(F.col("size") > 0, F.coalesce("times", F.lit(0)) + F.when(F.col("picked") & (F.col("rest") > 0), 1).otherwise(0)).otherwise(0).cast("long")
+    result = ["doc_id", "pattern", "size", (copies * F.col("size")).alias("taken"), copies.alias("times"), *["kept"] * bool(carry)]
     if fill:
-        return _filled(rows).select("doc_id", "pattern", "size", taken, *carry), sizes, goal
+        return _filled(rows).select(result), sizes, goal
     cells = rows.groupBy("p", "cell", "rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("p").orderBy("cell"))
     last = F.broadcast(cells.withColumn("upto", upto).filter(F.col("upto") > F.col("rest")).groupBy("p", "rest").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("before")), "cell").alias("at"))
@@ -174,19 +175,27 @@ def mix(docs: DataFrame, members: str, weights: tuple = WEIGHTS, repeats: int =
     running = F.col("before") + F.sum("size").over(Window.partitionBy("p").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.filter("cell = edge").withColumn("picked", running <= F.col("rest"))
     others = rows.filter("edge is null or cell <> edge").withColumn("picked", F.coalesce(F.col("cell") < F.col("edge"), F.lit(True)))
-    return others.unionByName(edge).select("doc_id", "pattern", "size", taken, *carry), sizes, goal
+    return others.unionByName(edge).select(result), sizes, goal
 
 
-def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, fill: bool = False) -> DataFrame:
-    """The mix of documents that name one source each: doc_id, size, source_size, target, taken."""
+def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, fill: bool = True, carry: tuple = ()) -> DataFrame:
+    """The mix of documents that name one source each: doc_id, size, source_size, target, taken, times and the columns to carry.
+
+    A carried column named like one of the first gets ``_of_document`` behind its name.
+    """
     spark = docs.sparkSession
-    mixed, sizes, goal = mix(docs.withColumn("members", F.array("source")), "members", weights, repeats, seed, fill=fill)
+    members = "members"
+    while members in docs.columns:
+        members += "_"
+    mixed, sizes, goal = mix(docs.withColumn(members, F.array("source")), members, weights, repeats, seed, carry=carry, fill=fill)
+    own = ["doc_id", "size", "source_size", "target", "taken", "times"]
     known = F.broadcast(spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "name string, source_size long, target double"))
-    return mixed.join(known, F.col("pattern")[0].eqNullSafe(F.col("name")), "left").select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.join(known, F.col("pattern")[0].eqNullSafe(F.col("name")), "left").select(
+        *own, *[F.col(f"kept.`{c}`").alias(f"{c}_of_document" if c in own else c) for c in carry])
 
 
 SQL = r"""
-with sized as (
+with recursive sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
          cast('0x' || substr(md5('20:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as place
   from documents),
@@ -200,11 +209,17 @@ final as (select arg_min(level, rank) filter (where level * w <= most) as level
 goals as (select source, source_size, least(most, coalesce(final.level, 0) * w)::double as target from levels, final),
 asked as (select *, floor(target + 0.5)::bigint as words from goals),
 placed as (
-  select s.doc_id, s.size, g.source_size, g.target, g.words,
-         sum(s.size) over (partition by s.source order by s.place, s.doc_id rows unbounded preceding) as upto
-  from sized s join asked g on s.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-       cast(case when source_size = 0 then 0 else (words // source_size) * size
-            + case when upto <= words % source_size then size else 0 end end as bigint) as taken
-from placed
+  select s.doc_id, s.source, s.size, g.source_size, g.target, case when g.source_size = 0 then 0 else g.words // g.source_size end as whole,
+         case when g.source_size = 0 then 0 else g.words % g.source_size end as rest,
+         row_number() over (partition by s.source order by s.place, s.doc_id) as nr
+  from sized s join asked g on s.source is not distinct from g.source),
+filled as (
+  select *, case when size between 1 and rest then 1 else 0 end as picked from placed where nr = 1
+  union all
+  select p.doc_id, p.source, p.size, p.source_size, p.target, p.whole, f.rest - f.picked * f.size, p.nr,
+         case when p.size between 1 and f.rest - f.picked * f.size then 1 else 0 end
+  from filled f join placed p on p.source is not distinct from f.source and p.nr = f.nr + 1)
+select doc_id, size, source_size, target, cast((whole + picked) * size as bigint) as taken,
+       cast(case when size > 0 then whole + picked else 0 end as bigint) as times
+from filled
 """

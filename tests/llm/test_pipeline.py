@@ -51,6 +51,9 @@ def test_stages(spark, tables):
     assert fourth.filter(F.col("n_chars") != F.length("text")).isEmpty()
     fifth = cp.mixing(spark, docs, folder)
     assert fifth.filter("taken <= 0 or times > 3 or taken <> times * size").isEmpty()
+    assert [c for c in docs.columns if c not in fifth.columns] == []
+    texts = {(r[0], r[1]) for r in rows}
+    assert all((r["doc_id"], r["text"]) in texts for r in fifth.collect())
     by_source = fifth.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r["taken"] - r["target"]) < 200 for r in by_source)
 
@@ -65,6 +68,16 @@ def test_run_and_no_rows(spark, tables, tmp_path):
     assert cp.run(spark, empty).count() == 0
 
 
+def test_columns_of_the_same_names_stay(spark, tables):
+    folder, rows, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "7.5D as score", "'t' as toxicity", "1 as taken", "2 as size", "3 as members", "4 as kept", "5 as target")
+    first = cp.toxicity(spark, docs, folder)
+    assert first.schema == docs.schema and {(r["score"], r["toxicity"]) for r in first.collect()} == {(7.5, "t")}
+    last = cp.mixing(spark, docs, folder)
+    got = {(r["taken_of_document"], r["size_of_document"], r["target_of_document"], r["members"], r["kept"]) for r in last.collect()}
+    assert got == {(1, 2, 5, 3, 4)} and last.filter("taken <> times * size").isEmpty()
+
+
 def test_toxicity_on_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a nice day", 5.0), (1, "a nice day", 5.0), (None, None, 1.0), (3, "", 0.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
