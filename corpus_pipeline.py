@@ -17,7 +17,10 @@ from dailybars.plans.cut import written
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below one half; the model learns from ``labels`` of the documents given."""
     model = subword_bag.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return subword_bag.scored(docs, model).filter("score < 0.5").select(docs.columns)
+    name = "toxicity"
+    while name in docs.columns:  # a column that documents do not have yet
+        name += "_"
+    return subword_bag.scored(docs, model, name).filter(F.col(name) < 0.5).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,8 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their size, the words taken and the number of times."""
-    return source_mix.mix_sources(docs, fill=True).filter("taken > 0").withColumn("times", (F.col("taken") / F.col("size")).cast("long"))
+    """Documents that the mix takes, with all their columns, their size, the words taken and the number of times."""
+    return source_mix.mix_sources(docs, fill=True, carry=[c for c in docs.columns if c != "doc_id"]).filter("times > 0")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("privacy", privacy), ("mixing", mixing)]
