@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from dailybars.llm import batches
+from dailybars.plans.cut import written
 
 CELLS = 1 << 18
 SIZES = (3, 4, 5, 6, 7)
@@ -42,6 +43,7 @@ RATE = 1.0
 LEAST = 6
 SCALE = 300.0
 SEED = 7
+TASKS = 16
 
 
 def subwords(body, offsets, sizes=SIZES, cells=CELLS):
@@ -179,17 +181,49 @@ def _sampled_bags(tables):
             names=["toxic", "place", "cells", "times"])
 
 
+def _held_by(tables):
+    """How many documents of a task hold each cell, as one compressed array."""
+    total = np.zeros(CELLS, np.int32)
+    for batch in tables:
+        for cells in batch.column("cells"):
+            total[np.frombuffer(cells.as_buffer(), np.int32)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd").compress(total.tobytes()).to_pybytes()], pa.binary())], names=["held"])
+
+
+def _common_bags(common):
+    """Bags without rare cells, compressed: steps from cell to cell, then counts."""
+    def keep(tables):
+        codec = pa.Codec("zstd")
+        for batch in tables:
+            made = []
+            for cells, times in zip(batch.column("cells"), batch.column("times")):
+                cells, times = np.frombuffer(cells.as_buffer(), np.int32), np.frombuffer(times.as_buffer(), np.int32)
+                kept = common[cells]
+                made.append(codec.compress(np.concatenate([np.diff(cells[kept], prepend=np.int32(0)), times[kept]]).tobytes()).to_pybytes())
+            n = pa.array([int(common[np.frombuffer(c.as_buffer(), np.int32)].sum()) for c in batch.column("cells")], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("place"), n, pa.array(made, pa.binary())], names=["toxic", "place", "n", "bag"])
+
+    return keep
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the training rows of ``labels`` (doc_id, toxic); of documents that repeat an id the first text counts."""
+    """Fit on the training rows of ``labels`` (doc_id, toxic); of documents that repeat an id the first text counts.
+
+    The driver gets the cells that ``LEAST`` documents of the sample hold, never a text.
+    """
     known = labels.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     total, ones = known.agg(F.count("toxic"), F.sum("toxic")).first()
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(sample).withColumn("nth", F.monotonically_increasing_id()) for k in (0, 1)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 * sample rows
     single = rows.groupBy("doc_id", "toxic", "nth").agg(F.min("text").alias("text")).withColumn("place", F.concat_ws(":", order, "toxic", "nth"))
-    held = single.select("toxic", "place", "text").mapInArrow(_sampled_bags, "toxic int, place string, cells binary, times binary").orderBy("place").collect()
-    return fit_bags([(np.frombuffer(r["cells"], np.int32), np.frombuffer(r["times"], np.int32)) for r in held], [r["toxic"] for r in held],
-                    (ones or 0) / total if total else 0.0)
+    held = written(single.select("toxic", "place", "text").mapInArrow(_sampled_bags, "toxic int, place string, cells binary, times binary"), "bags")
+    codec, held_by = pa.Codec("zstd"), np.zeros(CELLS, np.int64)
+    for r in held.select("cells").coalesce(TASKS).mapInArrow(_held_by, "held binary").toLocalIterator():
+        held_by += np.frombuffer(codec.decompress(r["held"], CELLS * 4), np.int32)
+    rows = held.mapInArrow(_common_bags(held_by >= LEAST), "toxic int, place string, n int, bag binary").orderBy("place").collect()
+    packed = [np.frombuffer(codec.decompress(r["bag"], r["n"] * 8), np.int32) for r in rows]
+    return fit_bags([(np.cumsum(x[:len(x) // 2], dtype=np.int32), x[len(x) // 2:]) for x in packed], [r["toxic"] for r in rows], (ones or 0) / total if total else 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
