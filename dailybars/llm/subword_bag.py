@@ -152,7 +152,7 @@ def _scores(model, text, name):
         for batch in tables:
             body, offsets = batches.utf8(batch.column(text))
             out = []
-            for row, end, part, edges in batches.slices(body, offsets, 2 << 20):
+            for row, end, part, edges in batches.slices(body, offsets, 3 << 18):
                 found, of = subwords(part, edges, cells=len(model.weights))
                 out.append(model.score(found, of, end - row))
             score = pa.array(np.concatenate(out) if out else np.zeros(0))
