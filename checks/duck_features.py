@@ -13,7 +13,7 @@ from dailybars.functions.terms import Sheet, SparkSyntax
 
 
 class DuckSyntax(SparkSyntax):
-    ordered = False
+    ordered = stepwise = False
 
     def values(self, x): return f"list({x})", f"filter (where {x} is not null)"
     def quantile(self, x, q): return f"quantile_cont({x}, {q!r})"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from dailybars.features import v3_composite, v3_periods  # noqa: F401  (fill the registry)
 from dailybars.features.v3_market import WITHOUT_MARKET
@@ -14,7 +17,7 @@ from dailybars.functions.terms import Sheet
 from dailybars.plans.asof import spread_days
 from dailybars.plans.cut import written
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks, number_rows
-from dailybars.plans.kernels import add_kernels
+from dailybars.plans.kernels import add_kernels, kernels
 from dailybars.plans.runs import add_anchored_runs, add_jump_runs, fill_forward
 from dailybars.plans.sheets import run_sheet
 
@@ -72,39 +75,50 @@ def resample(frame: DataFrame, label, step: str) -> DataFrame:
     span = made.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     if step == "week":
         days = F.sequence("a", "b", F.expr("interval 7 days"))
+        number = lambda upto: (F.datediff(upto, "a") / 7 + 1).cast("bigint")
     else:
         days = F.transform(F.sequence(F.trunc("a", "MM"), F.col("b"), F.expr("interval 1 month")), F.last_day)
-    calendar = span.select("ticker", F.explode(days).alias("date"))
-    return calendar.join(made, ["ticker", "date"], "left").withColumn("vol", F.coalesce("vol", F.lit(0.0)))
+        number = lambda upto: ((F.year(upto) - F.year("a")) * 12 + F.month(upto) - F.month("a") + 1).cast("bigint")
+    calendar = span.select("ticker", "a", number("b").alias("n_rows"), F.explode(days).alias("date"))
+    return (calendar.select("ticker", "date", number("date").alias("rn"), "n_rows")
+                    .join(made, ["ticker", "date"], "left").withColumn("vol", F.coalesce("vol", F.lit(0.0))))
+
 
+def period_columns(numbered, label, visible, step, registry, names, size=BLOCK_ROWS) -> DataFrame:
+    """ticker, rn and the named columns of the last finished period on each bar's date.
 
-def _periods(frame, label, visible, step, registry, names, size):
+    Periods follow each other without gaps, so their numbers come from their dates.
+    """
     sheet = Sheet(registry)
     outputs = {n: sheet.f(n) for n in sorted(names)}
-    plain = frame.select("ticker", "date", "h", "l", "c", "vol")
-    periods = number_rows(written(resample(plain, label, step), step))
-    periods = add_kernels(periods, {b for b in sheet.used_base if b.startswith("k_")})
+    periods = written(resample(numbered.select("ticker", "date", "h", "l", "c", "vol"), label, step), step)
+    periods = add_kernels(periods, {b for b in sheet.used_base if b.startswith("k_")}, size)
     made = run_sheet(periods, sheet, outputs, size=size).drop("rn").withColumnRenamed("date", "period")
-    return frame.withColumn("period", visible).join(made, ["ticker", "period"], "left").drop("period")
+    return numbered.select("ticker", "rn", visible.alias("period")).join(made, ["ticker", "period"], "left").drop("period")
 
 
-def add_balance_volume(numbered: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
-    """Running sum of +-volume by the sign of the price change (first row -volume)."""
-    frame = into_blocks(numbered, 1, size=size)
+def balance_volume(numbered: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """ticker, rn, obv: running sum of +-volume by the sign of the price change (first row -volume)."""
+    frame = into_blocks(numbered.select("ticker", "rn", "n_rows", "c", "vol"), 1, size=size)
     in_block = W.partitionBy("ticker", "blk").orderBy("rn")
     move = F.col("c") - F.lag("c").over(in_block)
     signed = frame.withColumn("signed", F.when(move == 0, 0.0).when(move > 0, F.col("vol")).otherwise(-F.col("vol"))).where("own")
     sums = signed.groupBy("ticker", "blk").agg(F.sum("signed").alias("block_sum"))
     before = sums.select("ticker", "blk", (F.sum("block_sum").over(W.partitionBy("ticker").orderBy("blk")) - F.col("block_sum")).alias("before"))
     running = F.sum("signed").over(in_block.rowsBetween(W.unboundedPreceding, 0))
-    return signed.join(before, ["ticker", "blk"]).withColumn("obv", F.col("before") + running).drop("signed", "before", "blk", "own")
+    return signed.withColumn("running", running).join(before, ["ticker", "blk"]).select("ticker", "rn", (F.col("before") + F.col("running")).alias("obv"))
+
+
+def series_by_day(bars: DataFrame, series: DataFrame, on: list[str], name: str) -> DataFrame:
+    """One row a calendar day (and key): the close of a series as of that day, up to the last bar."""
+    days = spread_days(series, on, bars.agg(F.max("date").alias("last_day")))
+    return days.select(*on, F.col("day").alias("date"), F.col("close").alias(name))
 
 
 def add_series(frame: DataFrame, series: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Left join of a spread series: its close as of each bar date."""
-    last = frame.agg(F.max("date").alias("last_day"))
-    days = spread_days(series, [k for k in on if k != "day"], last).select(*on, F.col("close").alias(name))
-    return frame.withColumn("day", F.col("date")).join(days, on, "left").drop("day")
+    """Left join of a series spread over days: its close as of each bar date."""
+    keys = [k for k in on if k != "day"]
+    return frame.join(series_by_day(frame, series, keys, name), [*keys, "date"], "left")
 
 
 def build_features(bars: DataFrame, names, feature_set: str = "v3", market: DataFrame | None = None,
@@ -155,34 +169,47 @@ def daily_base(bars, used, market=None, sector_bars=None, sectors=None, size=BLO
     ticker's own rows (sets v1 and v2) instead of as of each date (v3).
     """
     frame = number_rows(price_columns(bars, prices))
-    kernels, weekly, monthly = ({b for b in used if b.startswith(kind)} for kind in ("k_", "wk_", "mo_"))
-    if weekly or monthly or "obv" in used or used & {"run_vr", "run_gr"}:
-        frame = written(frame, "numbered")  # read by several branches below
+    kernel_names, weekly, monthly = ({b for b in used if b.startswith(kind)} for kind in ("k_", "wk_", "mo_"))
+    by_row, runs = {}, used & {"run_vr", "run_gr"}
+    if kernel_names or weekly or monthly or runs or "obv" in used or (exact and "m" in used and market is not None):
+        frame = written(frame, "numbered")  # read by each of the following
+    if kernel_names:
+        by_row["kernels"] = lambda: kernels(frame, kernel_names, size).drop("blk")
     if weekly:
-        frame = _periods(frame, week_label(), last_friday(), "week", WEEKLY, weekly, size)
+        by_row["weekly"] = lambda: period_columns(frame, week_label(), last_friday(), "week", WEEKLY, weekly, size)
     if monthly:
-        frame = _periods(frame, F.last_day("date"), last_month_end(), "month", MONTHLY, monthly, size)
+        by_row["monthly"] = lambda: period_columns(frame, F.last_day("date"), last_month_end(), "month", MONTHLY, monthly, size)
     if "obv" in used:
-        frame = add_balance_volume(frame, size)
-    if ("m" in used or "s" in used) and market is not None:
-        if exact:
-            frame = frame.join(market.select("date", F.col("close").alias("m")), "date", "left")
-            frame = fill_forward(frame, "m", size)
-        else:
-            frame = add_series(frame, market.drop("ticker"), ["day"], "m")
+        by_row["obv"] = lambda: balance_volume(frame, size)
+    wants_market = ("m" in used or "s" in used) and market is not None
+    if wants_market and exact:
+        by_row["market"] = lambda: fill_forward(
+            frame.select("ticker", "rn", "n_rows", "date").join(market.select("date", F.col("close").alias("m")), "date", "left"), "m", size).select("ticker", "rn", "m")
+    out = frame
+    for side in all_written(by_row):  # narrow tables of one row a bar; the price table is dealt out once for all of them
+        out = out.join(side, ["ticker", "rn"], "left")
+    if wants_market and not exact:
+        out = out.join(series_by_day(bars, market.drop("ticker"), [], "m"), "date", "left")
     if "s" in used:
         if sectors is None:
-            frame = frame.withColumn("s", F.col("m") if market is not None else F.lit(None).cast("double"))
+            out = out.withColumn("s", F.col("m") if market is not None else F.lit(None).cast("double"))
         else:
-            symbols = sector_symbols(bars, sectors)
-            frame = frame.join(symbols, "ticker", "left")
             series = sector_bars.withColumnRenamed("ticker", "symbol")
-            frame = add_series(frame, series, ["symbol", "day"], "s")
             known = series.select("symbol").distinct().withColumn("known", F.lit(True))
+            out = (out.join(sector_symbols(bars, sectors).join(known, "symbol", "left"), "ticker", "left")
+                      .join(series_by_day(bars, series, ["symbol"], "s"), ["symbol", "date"], "left"))
             fallback = F.col("m") if market is not None else F.lit(None).cast("double")
-            frame = (frame.join(known, "symbol", "left")
-                     .withColumn("s", F.when(F.col("known"), F.col("s")).otherwise(fallback)).drop("symbol", "known"))
-    return add_kernels(frame, kernels)
+            out = out.withColumn("s", F.when(F.col("known"), F.col("s")).otherwise(fallback)).drop("symbol", "known")
+    return written(out, "base") if runs else out
+
+
+def all_written(tables: dict) -> list[DataFrame]:
+    """Tables that do not depend on each other, stored at the same time so that short jobs overlap."""
+    if not tables:
+        return []
+    own = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(len(tables)) as pool:
+        return [job.get() for job in [pool.apply_async(own(lambda n=n, t=t: written(t(), n))) for n, t in tables.items()]]
 
 
 def add_regime_runs(base, used, market, size):

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 EPS = 1e-10
 TIE = 1e-12
+STEP = 16
 
 
 def literal(x) -> str:
@@ -76,6 +77,8 @@ class SparkSyntax:
 
     #: counts of a window below a limit are columns of their own (plans.order_stats), not folds over arrays
     ordered = True
+    #: long frames of counts and extremes are put together from short ones
+    stepwise = True
 
     def values(self, x): return f"collect_list({x})", ""
     def quantile(self, x, q): return f"percentile({x}, {q!r})"
@@ -221,8 +224,7 @@ class Sheet:
         lo, hi = (-w, -1) if prev else (-(w - 1), 0)
         out = self.window(f"{fn}({x.sql}) {self.frame(lo, hi)}", [x], -lo)
         if m > 1:
-            n = self.window(f"count({x.sql}) {self.frame(lo, hi)}", [x], -lo)
-            out = self.iff(n >= m, out, None)
+            out = self.iff(self.count(x, w, prev) >= m, out, None)
         return out
 
     def avg(self, x, w, m=1, prev=False): return self.roll("avg", x, w, m, prev)
@@ -230,11 +232,25 @@ class Sheet:
     def std(self, x, w, m=1, prev=False): return self.roll("stddev_samp", x, w, m, prev)
     def var(self, x, w, m=1, prev=False): return self.roll("var_samp", x, w, m, prev)
     def var_pop(self, x, w, m=1, prev=False): return self.roll("var_pop", x, w, m, prev)
-    def max(self, x, w, m=1, prev=False): return self.roll("max", x, w, m, prev)
-    def min(self, x, w, m=1, prev=False): return self.roll("min", x, w, m, prev)
+    def max(self, x, w, m=1, prev=False): return self.extreme("max", x, w, m, prev)
+    def min(self, x, w, m=1, prev=False): return self.extreme("min", x, w, m, prev)
+
+    def extreme(self, fn, x, w, m, prev):
+        """Spark folds a whole frame for every row, so the extreme of a long one is that of a few short ones further back."""
+        if not self.syntax.stepwise or w < 3 * STEP:
+            return self.roll(fn, x, w, m, prev)
+        x = self.keep(x)
+        short = self.window(f"{fn}({x.sql}) {self.frame(-(STEP - 1), 0)}", [x], STEP - 1)
+        steps = [k + int(prev) for k in (*range(0, w - STEP, STEP), w - STEP)]
+        out = self.keep(self.call("greatest" if fn == "max" else "least", *(self.lag(short, k) if k else short for k in steps)))
+        return self.iff(self.count(x, w, prev) >= m, out, None) if m > 1 else out
 
     def count(self, x, w, prev=False):
         x = self.keep(x)
+        if self.syntax.stepwise and w >= 3 * STEP:  # counts up to a row, less those up to the row before the frame
+            upto = self.window(f"count({x.sql}) over (partition by {self.partition} order by rn rows between unbounded preceding and current row)", [x], 0)
+            before = lambda k: self.window(f"lag({upto.sql}, {k}, 0L) over (partition by {self.partition} order by rn)", [upto], w - 1)
+            return self.keep((before(1) if prev else upto) - before(w + int(prev)))
         lo, hi = (-w, -1) if prev else (-(w - 1), 0)
         return self.window(f"count({x.sql}) {self.frame(lo, hi)}", [x], -lo)
 

@@ -10,35 +10,12 @@ from dailybars.operators.filters import date_slice, passes_all
 from dailybars.operators.stops import StopConfig, stop_columns, stop_config
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks, number_rows
 from dailybars.plans.cut import written
+from dailybars.plans.first_exit import FirstExit
 
 TRADE_FIELDS = ["ticker", "entry_date", "entry_price", "exit_date", "exit_price", "return", "pnl", "holding_days", "exit_reason"]
 STOP_FIELDS = ["stop_loss_pct", "used_swing_low", "swing_distance_pct", "buffer_pct"]
 
 
-class FirstExit:
-    """First row at or behind a start whose low lies below one price or whose high reaches another, for many starts at once.
-
-    Tables hold the lowest low and the highest high of every stretch of 1, 2, 4, ... rows; a search skips
-    stretches without an exit, longest first, so it costs the logarithm of its reach and no path is made.
-    """
-
-    def __init__(self, low: np.ndarray, high: np.ndarray, reach: int):
-        self.low, self.high = [low], [high]
-        while 2 ** len(self.low) <= reach and 2 ** len(self.low) <= len(low):
-            half = 2 ** (len(self.low) - 1)
-            self.low.append(np.fmin(self.low[-1][:-half], self.low[-1][half:]))
-            self.high.append(np.fmax(self.high[-1][:-half], self.high[-1][half:]))
-
-    def find(self, start: np.ndarray, end: np.ndarray, leaves) -> np.ndarray:
-        """Row of the first exit in [start, end), else ``end``; ``leaves(low, high)`` tells if such a stretch holds one."""
-        at = start.copy()
-        for k in range(len(self.low) - 1, -1, -1):
-            whole = np.flatnonzero(at + 2 ** k <= end)
-            free = ~leaves(self.low[k][at[whole]], self.high[k][at[whole]], whole)
-            at[whole[free]] += 2 ** k
-        return at
-
-
 def candidate_exits(bars: DataFrame, signal: str, horizon: int, position_size: float = 1000.0,
                     return_threshold: float | None = None, stops: StopConfig | None = None,
                     entry_lag: int = 0, size: int = BLOCK_ROWS) -> DataFrame:

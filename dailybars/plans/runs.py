@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dailybars.plans.blocks import BLOCK_ROWS, into_blocks
-
+from dailybars.plans.first_exit import chain_ends, chain_from, next_beyond
 
 
 def in_block():
@@ -43,41 +43,28 @@ def _runs(frame: DataFrame, moved, value: str, name: str) -> DataFrame:
             .drop("start", "here", "before", "blk", "own"))
 
 
-def walk(x, rn, jump, anchor=None, start=0):
-    """Start row of the run each row belongs to; a row more than ``jump`` off the anchor starts one."""
-    starts = np.empty(len(x), dtype="int64")
-    for i, v in enumerate(x):
-        if anchor is None or abs(v - anchor) > jump:
-            anchor, start = v, rn[i]
-        starts[i] = start
-    return starts, anchor, start
+def run_starts(x, rn, jump, anchor=None, start=0):
+    """Start row of the run each row belongs to; a row more than ``jump`` off the value at a run's start begins another."""
+    n, following = len(x), next_beyond(x, jump)
+    off = np.ones(n, bool) if anchor is None else np.abs(x - anchor) > jump
+    begins = chain_from(int(np.argmax(off)) if off.any() else n, following)
+    mark = np.zeros(n, np.int64)
+    mark[begins] = begins + 1
+    mark = np.maximum.accumulate(mark)
+    return np.where(mark > 0, rn[np.maximum(mark - 1, 0)], start)
 
 
 def _exits(x, rn, jump):
     """What a block does to every anchor that could enter it.
 
     Only a new lowest or highest value can be the first to leave an entering
-    anchor, so the block is described by those rows and where the walk that
-    starts at each of them ends.
+    anchor, so the block is described by those rows and where the runs that
+    start at each of them end.
     """
-    low, high, rows = np.inf, -np.inf, []
-    for i, v in enumerate(x):
-        if v < low or v > high:
-            low, high = min(low, v), max(high, v)
-            rows.append(i)
-    end_anchor, end_start = {}, {}
-    # next row that leaves the anchor of row i, looked up from the back of the block
-    order = np.arange(len(x))
-    for i in sorted(rows, reverse=True):
-        at = i
-        while at not in end_anchor:
-            later = order[at + 1:][np.abs(x[at + 1:] - x[at]) > jump]
-            if not len(later):
-                end_anchor[at], end_start[at] = x[at], rn[at]
-                break
-            at = int(later[0])
-        end_anchor[i], end_start[i] = end_anchor[at], end_start[at]
-    return [float(x[i]) for i in rows], [float(end_anchor[i]) for i in rows], [int(end_start[i]) for i in rows]
+    lowest, highest = np.minimum.accumulate(x), np.maximum.accumulate(x)
+    rows = np.flatnonzero(np.r_[True, (x[1:] < lowest[:-1]) | (x[1:] > highest[:-1])][:len(x)])
+    ends = chain_ends(next_beyond(x, jump))[rows]
+    return x[rows].tolist(), x[ends].tolist(), rn[ends].tolist()
 
 
 def add_anchored_runs(df: DataFrame, value: str, jump: float, name: str, size: int) -> DataFrame:
@@ -111,8 +98,7 @@ def add_anchored_runs(df: DataFrame, value: str, jump: float, name: str, size: i
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
         anchor = pdf["anchor"].iloc[0]
-        starts, _, _ = walk(pdf[value].to_numpy(), pdf["rn"].to_numpy(), jump,
-                            None if pd.isna(anchor) else anchor, pdf["start"].iloc[0])
+        starts = run_starts(pdf[value].to_numpy(), pdf["rn"].to_numpy(), jump, None if pd.isna(anchor) else anchor, pdf["start"].iloc[0])
         pdf[name] = (pdf["rn"] - starts + 1).astype(float)
         return pdf[[*columns, name]]
 

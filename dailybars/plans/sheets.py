@@ -21,8 +21,8 @@ def run_sheet(df: DataFrame, sheet, outputs, keep=("date",), size: int = BLOCK_R
     frame = into_blocks(df.select(*need, "n_rows") if "n_rows" not in need else df.select(*need), back, size=size)
     frame = frame.select(*need, "blk", "own")
     stay = list(dict.fromkeys([*carried, "blk", "own"]))
-    if any(counts for *_, counts in stages):
-        frame = frame.repartition("ticker", "blk").sortWithinPartitions("ticker", "blk", "rn")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # windows cost more than their bytes tell
+    frame = frame.repartition(parts, "ticker", "blk").sortWithinPartitions("ticker", "blk", "rn")
     for passed, made, counts in stages:
         through = list(dict.fromkeys([*stay, *passed]))
         if counts:

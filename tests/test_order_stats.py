@@ -1,9 +1,13 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from dailybars.functions.terms import Sheet
+from dailybars.plans.first_exit import chain_ends, chain_from, next_beyond
 from dailybars.plans.order_stats import WindowCounts, _counts
+from dailybars.plans.runs import _exits, run_starts
 from dailybars.plans.sheets import run_sheet
 
 
@@ -55,3 +59,31 @@ def test_a_level_of_ranks_costs_one_more_exchange(spark, tmp_path):
     made = run_sheet(spark.read.parquet(str(tmp_path / "c")), sheet, {"rank": sheet.avg(sheet.prank(sheet.diff(sheet.C), 40), 5)}, keep=())
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 300])
+def test_runs_of_a_block_equal_a_walk(n):
+    rng = np.random.default_rng(n)
+    x, rn = np.round(np.cumsum(rng.normal(0, 0.1, n)), 2), np.arange(11, 11 + n)
+    following = next_beyond(x, 0.2)
+    assert following.tolist() == [next((j for j in range(i + 1, n) if abs(x[j] - x[i]) > 0.2), n) for i in range(n)]
+    for i in range(0, n, 7):
+        chain = [i]
+        while following[chain[-1]] < n:
+            chain.append(int(following[chain[-1]]))
+        assert chain_from(i, following).tolist() == chain and chain_ends(following)[i] == chain[-1]
+    for anchor, start in ((None, 0), (x[0] + 0.05, 4), (99.0, 4)):
+        a, s, want = anchor, start, []
+        for v, r in zip(x, rn):
+            if a is None or abs(v - a) > 0.2:
+                a, s = v, r
+            want.append(s)
+        assert run_starts(x, rn, 0.2, anchor, start).tolist() == want
+
+
+def test_a_rising_series_is_not_quadratic():
+    x = np.arange(8192) * 0.15
+    started = time.time()
+    seen, ends, starts = _exits(x, np.arange(1, 8193), 0.2)
+    made = run_starts(x, np.arange(1, 8193), 0.2)
+    assert time.time() - started < 1 and len(seen) == 8192 and len(set(starts)) == 2 and made[-1] >= 8191

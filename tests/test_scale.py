@@ -86,3 +86,12 @@ def test_sweep_and_presets_against_counts(spark):
     trades = spark.createDataFrame([(0.1, "target", 1.0), (-0.2, "stop_loss", 2.0), (0.3, "target", 3.0)], "`return` double, exit_reason string, f double")
     out = {r["preset"]: r for r in preset_comparison(trades, {"high": [("f", ">", 1.5)], "all": []}).collect()}
     assert out["high"]["remaining_trades"] == 2 and out["high"]["winners_excluded_pct"] == 50 and out["all"]["remaining_trades"] == 3
+
+
+def test_all_features_share_their_exchanges(spark, walk):
+    """Prices are dealt out once for all side tables, once for the windows and once for each level of ranks."""
+    _, bars, _, market = walk
+    sectors = spark.createDataFrame([("AAA", "Technology"), ("BBB", "Energy")], "ticker string, sector string")
+    out = build_features(bars, list(V3), market=market, sector_bars=market.withColumn("ticker", F.lit("XLK")), sectors=sectors)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 15
