@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F, types as T
 
 from checks import duck_trades as dt
-from checks.duck_features import BARS
+from checks.duck_features import BARS, feature_sql
 from dailybars.features.build import SECTOR_SYMBOL, build_features, resample, sector_symbols, week_label
+from dailybars.features.categories import CATEGORY
 from dailybars.features.build import add_series, last_friday, last_month_end, price_columns
 from dailybars.features.v1_v2 import V1
 from dailybars.features.v3_composite import V3
@@ -269,9 +270,7 @@ MY_FILTERS = [("close_position_in_range", ">", 0.3), ("rsi14", "<=", 0.2), ("vol
 MY_SQL = "coalesce(close_position_in_range > 0.3 and rsi14 <= 0.2 and volatility_21d < 0.08 and relative_volume >= 0.5, false)"
 add("p14_entry_filters", lambda s, p: filters.apply_entry_filters(ft(s, p), MY_FILTERS).select("ticker", "date", "rsi14"), FT + f" select ticker, date, rsi14 from ft where {MY_SQL}", ["rsi14"])
 LATEST = "latest as (select * from ft qualify row_number() over (partition by ticker order by date desc) = 1)"
-add("p15_latest_filters", lambda s, p: filters.apply_entry_filters(scoring.latest_rows(ft(s, p)), MY_FILTERS[:2]).select("ticker", "date", "rsi14"),
-    f"{FT}, {LATEST} select ticker, date, rsi14 from latest where close_position_in_range > 0.3 and rsi14 <= 0.2", ["rsi14"])
-add("p15_latest_all_filters", lambda s, p: filters.apply_entry_filters(scoring.latest_rows(ft(s, p)), MY_FILTERS).select("ticker", "date", "rsi14"),
+add("p15_latest_filters", lambda s, p: filters.apply_entry_filters(scoring.latest_rows(ft(s, p)), MY_FILTERS).select("ticker", "date", "rsi14"),
     f"{FT}, {LATEST} select ticker, date, rsi14 from latest where {MY_SQL}", ["rsi14"])
 
 
@@ -535,6 +534,24 @@ add("b14_impact_per_filter", lambda s, p: reports.impact_per_filter(analysed(s,
     ["winners_excluded_pct", "stop_losses_excluded_pct", "total_excluded_pct"])
 
 
+def kept_trades(name, ok):
+    return f"select *, '{name}' as filter from analysed where {ok}"
+
+
+MASKS = {"before": "true", **{f: f"coalesce({f} {op} {v}, false)" for f, op, v in MY_FILTERS if f in FEATURES}, "combined": MY_SQL}
+FILTER_DOUBLES = ["remaining_pct", "win_rate", "avg_return", "total_pnl", "max_drawdown", "sharpe_ratio", "profit_factor", "annual_return"]
+def trades_with_features(spark, path):
+    features = ft(spark, path)
+    t = written(trades.run_backtest(features, F.expr(SIGNAL), H, 1000.0, TARGET, STOP["constant"]).drop(*trades.STOP_FIELDS), "trades")
+    return t.join(features.select("ticker", F.col("date").alias("entry_date"), *FEATURES), ["ticker", "entry_date"])
+
+
+add("b14_filter_metrics", lambda s, p: reports.filter_metrics(trades_with_features(s, p), MY_FILTERS),
+    f"{AN}, runs as ({' union all '.join(kept_trades(n, ok) for n, ok in MASKS.items())}), m as (select * from {dt.metrics('runs', 'filter')}) "
+    "select filter, n_trades as remaining_trades, n_trades * 100e0 / (select count(*) from analysed) as remaining_pct, win_rate, avg_return, total_pnl, max_drawdown, sharpe_ratio, profit_factor, annual_return from m",
+    FILTER_DOUBLES)
+
+
 def two_runs(spark, path):
     base = run(spark, path).withColumn("run_id", F.lit("base"))
     return base.unionByName(run(spark, path, filters=MY_FILTERS).withColumn("run_id", F.lit("filtered")))
@@ -545,17 +562,9 @@ add("b15_side_by_side", lambda s, p: reports.side_by_side(two_runs(s, p), "run_i
     f"{TWO}, m as (select * from {dt.metrics('runs', 'run_id')}), u as (" + " union all ".join(f"select run_id, '{c}' as metric, cast({c} as double) as v from m" for c in reports.COMPARED)
     + ") select metric, max(v) filter (where run_id = 'base') as baseline, max(v) filter (where run_id = 'filtered') as filtered, max(v) filter (where run_id = 'filtered') - max(v) filter (where run_id = 'base') as change from u group by metric",
     ["baseline", "filtered", "change"])
-PRESETS = {"default": filters.DEFAULT_FILTERS, "recommended": filters.RECOMMENDED_FILTERS[:2], "mine": MY_FILTERS}
-PRESET_SQL = {"default": preset_sql(filters.DEFAULT_FILTERS), "recommended": preset_sql(filters.RECOMMENDED_FILTERS[:2]), "mine": MY_SQL}
-add("b16_preset_comparison", lambda s, p: reports.preset_comparison(analysed(s, p), PRESETS),
-    f"{AN}, pr as (" + " union all ".join(
-        f"select '{n}' as preset, count(*) filter (where ok) as remaining_trades, count(*) filter (where not ok and {WINNER}) * 100e0 / count(*) filter (where {WINNER}) as winners_excluded_pct, count(*) filter (where not ok and {BIG}) * 100e0 / count(*) filter (where {BIG}) as stop_losses_excluded_pct, "
-        f"coalesce(count(*) filter (where ok and {WINNER}) / nullif(count(*) filter (where ok), 0), 0) as win_rate from (select *, {c} as ok from analysed)" for n, c in PRESET_SQL.items())
-    + ") select *, winners_excluded_pct = min(winners_excluded_pct) over () as best_winners, stop_losses_excluded_pct = max(stop_losses_excluded_pct) over () as best_stops, win_rate = max(win_rate) over () as best_win_rate from pr",
-    ["winners_excluded_pct", "stop_losses_excluded_pct", "win_rate"])
 WHOLE = {"default": filters.DEFAULT_FILTERS, "recommended": filters.RECOMMENDED_FILTERS, "mine": MY_FILTERS}
 WHOLE_SQL = {n: " and ".join(f"coalesce({f} {op} {v}, false)" for f, op, v in preset if f in WIDE) for n, preset in WHOLE.items()}
-add("b16_whole_presets", lambda s, p: reports.preset_comparison(analysed(s, p, names=WIDE), WHOLE),
+add("b16_preset_comparison", lambda s, p: reports.preset_comparison(analysed(s, p, names=WIDE), WHOLE),
     f"{wide_sql(WIDE)}, pr as (" + " union all ".join(
         f"select '{n}' as preset, count(*) filter (where ok) as remaining_trades, count(*) filter (where not ok and {WINNER}) * 100e0 / count(*) filter (where {WINNER}) as winners_excluded_pct, count(*) filter (where not ok and {BIG}) * 100e0 / count(*) filter (where {BIG}) as stop_losses_excluded_pct, "
         f"coalesce(count(*) filter (where ok and {WINNER}) / nullif(count(*) filter (where ok), 0), 0) as win_rate from (select *, {c} as ok from analysed)" for n, c in WHOLE_SQL.items())
@@ -596,10 +605,11 @@ TIER = "case when importance = 0 then 'zero' when importance < 0.0001 then 'very
 add("b27_importance_tiers", lambda s, p: quality.importance_tiers(importances(s, p)),
     f"{IMP_SQL}, {RANKED} select {TIER} as tier, count(*) as features, sum(pct) as importance_pct, (select sum(pct) from ranked where rank <= 20) as top_20_pct from ranked group by 1", ["importance_pct", "top_20_pct"])
 add("b28_importance_table", lambda s, p: quality.importance_table(importances(s, p)), f"{IMP_SQL}, {RANKED} select feature, importance, cast(rank as integer) as rank, pct, cumulative_pct from ranked", ["importance", "pct", "cumulative_pct"])
-add("b29_prune_zero", lambda s, p: quality.features_to_disable(importances(s, p), "drop_zero"), f"{IMP_SQL} select feature from imp where importance < 1e-10")
+add("b29_prune_zero", lambda s, p: quality.features_to_disable(importances(s, p).withColumn("importance", F.when(F.col("importance") >= 0.3, F.col("importance")).otherwise(0.0)), "drop_zero"),
+    f"{IMP_SQL} select feature from imp where importance < 0.3")
 add("b29_prune_weak", lambda s, p: quality.features_to_disable(importances(s, p), "drop_below_threshold", 0.5), f"{IMP_SQL} select feature from imp where importance < 0.5")
 add("b29_keep_top", lambda s, p: quality.features_to_disable(importances(s, p), "keep_top_n", 5), f"{IMP_SQL}, {RANKED} select feature from ranked where rank > 5")
-add("b29_prune_below", lambda s, p: quality.features_to_disable(importances(s, p), "drop_below_threshold", 0.02), f"{IMP_SQL} select feature from imp where importance < 0.02")
+add("b29_prune_below", lambda s, p: quality.features_to_disable(importances(s, p), "drop_below_threshold", 0.2), f"{IMP_SQL} select feature from imp where importance < 0.2")
 
 
 def b30(spark, path):
@@ -627,9 +637,10 @@ add("b37_column_profile", lambda s, p: quality.column_profile(ft(s, p).select("t
     FT + " " + " union all ".join(f"select '{c}' as column, '{t}' as type, count({c}) as non_null, count(*) - count({c}) as nulls, max(date) as latest from ft" for c, t in (("ticker", "string"), ("date", "date"), ("volume", "bigint"), ("rsi14", "double"), ("label_5d", "int"))))
 add("b38_feature_bounds", lambda s, p: quality.feature_bounds(ft(s, p), "volatility_21d"),
     FT + " select quantile_cont(volatility_21d, 0.5) as neutral, quantile_cont(volatility_21d, 0.01) as low, quantile_cont(volatility_21d, 0.99) as high, greatest(0.1e0, stddev_samp(volatility_21d) * 0.1e0) as increment from ft", ["neutral", "low", "high", "increment"])
-add("b39_feature_groups", lambda s, p: quality.measure(ft(s, p), FEATURES, present=F.count).withColumn(
-        "category", F.when(F.col("feature").like("%vol%"), "volume and volatility").when(F.col("feature").like("%cos%"), "calendar").otherwise("price")).groupBy("category").agg(F.count(F.lit(1)).alias("features"), F.sum("present").alias("values")),
-    FT + " select case when feature like '%vol%' then 'volume and volatility' when feature like '%cos%' then 'calendar' else 'price' end as category, count(*) as features, cast(sum(present) as bigint) as values from (" + per_feature("count({f}) as present") + ") group by 1")
+SUMMARY = [n for block in ("1.2 returns", "1.6 volatility", "2.1 volume", "2.2 rsi", "5.2 average alignment", "10.4 single candles", "15 calendar") for n in V3.blocks[block]]
+add("b39_feature_groups", lambda s, p: quality.feature_summary(ft(s, p, SUMMARY + ["rsi14"] * ("rsi14" not in SUMMARY)), CATEGORY),
+    feature_sql(SUMMARY, "v3", tail="select category, count(*) as features, cast(sum(present) as bigint) as values from ("
+                + " union all ".join(f"select '{CATEGORY[n]}' as category, count({n}) as present from feats" for n in SUMMARY) + ") group by category"))
 add("b40_weekly_bars", lambda s, p: resample(price_columns(fx.bars(s, p)), week_label(), "week"),
     f"with {BARS} select ticker, {WEEK} as date, arg_max(close, date) as c, max(high) as h, min(low) as l, cast(sum(volume) as double) as vol from bars group by ticker, {WEEK}", ["c", "h", "l", "vol"])
 add("b41_monthly_bars", lambda s, p: resample(price_columns(fx.bars(s, p)), F.last_day("date"), "month").select("ticker", "date", "c"),
@@ -733,28 +744,94 @@ def f04(spark, path):
 
 
 def f05(spark, path):
-    found = models.random_search(matrix(spark, path, "train"), X, "label_5d", by_time=True)
+    found = models.random_search(matrix(spark, path, "train"), X, "label_5d", by_time=True)  # 20 draws, 3 folds
     return spark.createDataFrame([(str(sorted(p.items())), a) for p, a in found], "parameters string, auc double")
 
 
 def f11(spark, path):
     m = models.logistic_baseline(matrix(spark, path, "train"), X, "label_5d")
-    return quality.importance_table(models.permutation_importance(m, matrix(spark, path, "test"), X, "label_5d"))
+    score = lambda d: models.with_probability(m.transform(d))
+    return quality.attribution_ranking(models.permutation_importance(score, matrix(spark, path, "test"), X, "label_5d"))
+
+
+def f03_gradient(spark, path):
+    train = matrix(spark, path, "train")
+    g = models.logistic_gradient(models.logistic_baseline(train, X, "label_5d"), train, X, "label_5d")
+    return g.select("feature", F.round(F.abs("gradient"), 3).alias("gradient"))
+
+
+def f04_losses(spark, path):
+    train = matrix(spark, path, "train")
+    losses = models.losses_by_tree(models.boosted(train, X, "label_5d", trees=12), train, "label_5d")
+    return spark.createDataFrame([(len(losses), all(a > b for a, b in zip(losses, losses[1:])))], "trees int, falls boolean")
+
+
+def f05_plan(spark, path):
+    """Drawn parameters with the sizes of their folds."""
+    table = models.with_folds(matrix(spark, path, "train").select("ticker", "date"), 3, by_time=True)
+    sizes = [[d.count() for d in models.fold_parts(table, k, True)] for k in range(3)]
+    return spark.createDataFrame([(i, str(sorted(p.items())), k, *sizes[k]) for i, p in enumerate(models.draws()) for k in range(3)],
+                                 "draw int, parameters string, fold int, train_rows bigint, validation_rows bigint")
+
+
+LINEAR = "round(0.4e0 * volatility_21d - 0.9e0 * rsi14 + 0.3e0 * close_position_in_range - 2e0 * atr14_normalized + 0.05e0 * relative_volume - 0.5e0 * roc10 + 1.3e-8, 6)"
+
+
+def f11_linear(spark, path):
+    data = ft(spark, path).where("label_5d is not null").select("ticker", "date", "label_5d", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in X])
+    return quality.attribution_ranking(models.permutation_importance(lambda d: d.withColumn("score", F.expr(LINEAR)), data, X, "label_5d"), 3)
+
+
+def k08_model(spark, path):
+    features = ft(spark, path).drop("probability")
+    fitted = models.line(features.where("date < '1996-01-01' and label_5d is not null"), "volatility_21d", "label_5d")
+    return trades.run_backtest(models.line_probability(features, fitted, "volatility_21d"), F.expr("probability >= 0.1 and date >= '1996-01-01'"), H, 1000.0, TARGET, STOP["constant"])
 
 
 add("f03_logistic", f03)
 add("f04_boosted_trees", f04)
 add("f05_random_search", f05)
 add("f11_permutation_importance", f11)
+PLAN = ", ".join("({}, '{}')".format(i, str(sorted(d.items())).replace("'", "''")) for i, d in enumerate(models.draws()))
+add("f05_search_plan", f05_plan,
+    f"""{FT}, {SPLIT}, days as (select date, ntile(4) over (order by date) - 1 as part from (select distinct date from split where split = 'train')),
+    r as (select part, count(*) as n from split join days using (date) where split = 'train' group by part),
+    sizes as (select k, cast(sum(n) filter (where part <= k) as bigint) as train_rows, cast(sum(n) filter (where part = k + 1) as bigint) as validation_rows from r, (values (0), (1), (2)) t(k) group by k),
+    plan(draw, parameters) as (values {PLAN}) select draw, parameters, k as fold, train_rows, validation_rows from plan, sizes""")
+VARIANTS = " union all ".join(f"select '{v}' as variant, y, {LINEAR} as s from (select y, " + ", ".join(f"{'other_' if c == v else ''}{c} as {c}" for c in X) + " from pr)" for v in ["", *X])
+F11_ORDER = "row_number() over (order by md5(ticker || '|' || cast(date as varchar) || '|{}'), ticker, date) as pos"
+add("f11_linear_ranking", f11_linear,
+    f"""{FT}, plain as (select ticker, date, label_5d as y, {', '.join(f'coalesce({c}, 0) as {c}' for c in X)} from ft where label_5d is not null),
+    a as (select *, {F11_ORDER.format(42)} from plain), b as (select {', '.join(f'{c} as other_{c}' for c in X)}, {F11_ORDER.format(43)} from plain),
+    pr as (select * from a join b using (pos)), sc as ({VARIANTS}),
+    g as (select variant, s, count(*) filter (where y = 1) as ones, count(*) filter (where y = 0) as zeros from sc group by variant, s),
+    r as (select variant, sum(ones * (upto - zeros / 2e0)) / (sum(ones) * sum(zeros)) as auc from (select *, sum(zeros) over (partition by variant order by s rows unbounded preceding) as upto from g) group by variant),
+    imp as (select variant as feature, greatest((select auc from r where variant = '') - auc, 0e0) as importance from r where variant <> ''), {RANKED}
+    select feature, importance, cast(rank as integer) as rank, pct, cumulative_pct, (select sum(pct) from ranked where rank <= 3) as top_pct from ranked""",
+    ["importance", "pct", "cumulative_pct", "top_pct"])
+add("k08_model_signal", lambda s, p: k08_model(s, p).select("ticker", "entry_date", "return"),
+    f"""{FT}, fit as (select regr_slope(cast(label_5d as double), volatility_21d) as s, regr_intercept(cast(label_5d as double), volatility_21d) as i from ft where date < '1996-01-01' and label_5d is not null),
+    model as (select ft.* exclude (probability), round(greatest(0e0, least(1e0, i + s * volatility_21d)) + 1.3e-8, 4) as probability from ft, fit),
+    {dt.trades("probability >= 0.1 and date >= '1996-01-01'", source="model")} select ticker, entry_date, "return" from trades""", ['"return"'])
+
+
+def failing(spark, path):
+    """A feature that cannot be built is a null column and an entry in the list."""
+    issues = []
+    out = build_features(fx.bars(spark, path), ["roc10", "no_such_feature"], issues=issues)
+    return out.select("ticker", "date", "roc10", "no_such_feature", F.lit(len(issues)).alias("issues"), F.lit(issues[0][0]).alias("issue"))
+
+
+add("x04_failing_feature", failing, feature_sql(["roc10"], tail="select ticker, date, roc10, cast(null as double) as no_such_feature, 1 as issues, 'no_such_feature' as issue from feats"), ["roc10"])
+add("f03_gradient", f03_gradient, "select unnest([" + ", ".join(f"'{n}'" for n in [*X, "intercept"]) + "]) as feature, 0e0 as gradient")
+add("f04_losses", f04_losses, "select 12 as trees, true as falls")
 
 # ---- sorts and sets -----------------------------------------------------------------
 add("s01_ticker_order", lambda s, p: number_rows(fx.bars(s, p)).select("ticker", "date", "rn", "n_rows"),
     BARS_SQL + "select ticker, date, row_number() over (partition by ticker order by date) as rn, count(*) over (partition by ticker) as n_rows from bars")
 add("s02_top_by_score", lambda s, p: ft(s, p).orderBy(F.col("probability").desc(), "ticker", "date").limit(10).select("ticker", "date", "probability"),
     FT + " select ticker, date, probability from ft order by probability desc nulls last, ticker, date limit 10", ["probability"])
-add("s03_top_effects", lambda s, p: reports.stop_vs_winner(analysed(s, p), FEATURES).orderBy(F.col("abs_effect").desc()).limit(5).select("feature"),
-    f"{AN}, {effect_sql(STOPPED, WINNER)} select feature from eff where d is not null order by abs(d) desc limit 5")
-add("s03_top_20_effects", lambda s, p: reports.stop_vs_winner(analysed(s, p, names=EFFECTS), EFFECTS).orderBy(F.col("abs_effect").desc()).limit(20).select("feature"),
+add("s03_top_effects", lambda s, p: reports.stop_vs_winner(analysed(s, p, names=EFFECTS), EFFECTS).orderBy(F.col("abs_effect").desc()).limit(20).select("feature"),
     f"{wide_sql(EFFECTS)}, {effect_sql(STOPPED, WINNER, EFFECTS)} select feature from eff where d is not null order by abs(d) desc limit 20")
 add("s04_s05_top_importances", lambda s, p: quality.importance_table(importances(s, p)).where("rank <= 5").select("feature", "rank"),
     f"{IMP_SQL}, {RANKED} select feature, cast(rank as integer) as rank from ranked where rank <= 5")
@@ -777,4 +854,7 @@ add("u03_keep_last", lambda s, p: clean.one_per_date(versions(s, p), "last", "v"
 add("u03_keep_first", lambda s, p: clean.one_per_date(versions(s, p), "first", "v"), BARS_SQL + "select ticker, date, close from bars", ["close"])
 add("u04_difference", lambda s, p: incremental.new_dates(fx.bars(s, p), fx.bars(s, p).where("ticker <> 'SMALL'")).select("ticker", "date"), BARS_SQL + "select ticker, date from bars where ticker = 'SMALL'")
 add("u05_intersection", lambda s, p: incremental.common_dates(fx.bars(s, p), fx.bars(s, p).where("month(date) = 2")).select("ticker", "date"), BARS_SQL + "select ticker, date from bars where month(date) = 2")
-add("u06_reasons", b30, SQL["b30_pruning"])
+add("u06_reasons", lambda s, p: b30(s, p).select("feature", F.explode(F.split("reasons", ",")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("features")),
+    f"select reason, count(*) as features from (select feature, unnest(string_split(reasons, ',')) as reason from ({SQL['b30_pruning']})) group by reason")
+for whole, name in (("p15_latest_all_filters", "p15_latest_filters"), ("b16_whole_presets", "b16_preset_comparison"), ("s03_top_20_effects", "s03_top_effects")):
+    QUERIES[whole], SQL[whole] = QUERIES[name], SQL[name]  # names under which these ran before

@@ -63,11 +63,11 @@ def last_month_end(date="date"):
     return F.date_sub(F.trunc(F.date_add(date, 1), "MM"), 1)
 
 
-def resample(frame: DataFrame, label, step: str) -> DataFrame:
+def resample(frame: DataFrame, label, step: str, numbered: bool = False) -> DataFrame:
     """Last close, highest high, lowest low, summed volume per period.
 
     Periods without a bar between a ticker's first and last one appear with
-    nulls (volume 0), because windows over periods count them.
+    nulls (volume 0), because windows over periods count them.  ``numbered`` adds rn and n_rows.
     """
     made = (frame.groupBy("ticker", label.alias("date"))
             .agg(F.max_by("c", "date").alias("c"), F.max("h").alias("h"), F.min("l").alias("l"),
@@ -80,7 +80,7 @@ def resample(frame: DataFrame, label, step: str) -> DataFrame:
         days = F.transform(F.sequence(F.trunc("a", "MM"), F.col("b"), F.expr("interval 1 month")), F.last_day)
         number = lambda upto: ((F.year(upto) - F.year("a")) * 12 + F.month(upto) - F.month("a") + 1).cast("bigint")
     calendar = span.select("ticker", "a", number("b").alias("n_rows"), F.explode(days).alias("date"))
-    return (calendar.select("ticker", "date", number("date").alias("rn"), "n_rows")
+    return (calendar.select("ticker", "date", *([number("date").alias("rn"), "n_rows"] if numbered else []))
                     .join(made, ["ticker", "date"], "left").withColumn("vol", F.coalesce("vol", F.lit(0.0))))
 
 
@@ -91,7 +91,7 @@ def period_columns(numbered, label, visible, step, registry, names, size=BLOCK_R
     """
     sheet = Sheet(registry)
     outputs = {n: sheet.f(n) for n in sorted(names)}
-    periods = written(resample(numbered.select("ticker", "date", "h", "l", "c", "vol"), label, step), step)
+    periods = written(resample(numbered.select("ticker", "date", "h", "l", "c", "vol"), label, step, True), step)
     periods = add_kernels(periods, {b for b in sheet.used_base if b.startswith("k_")}, size)
     made = run_sheet(periods, sheet, outputs, size=size).drop("rn").withColumnRenamed("date", "period")
     return numbered.select("ticker", "rn", visible.alias("period")).join(made, ["ticker", "period"], "left").drop("period")

@@ -208,3 +208,17 @@ def stratified_sample(df: DataFrame, label: str, rows: int, seed: int = 42, keys
     quota = shares.select(F.col(label).alias("class"), F.least("size", F.floor(F.lit(rows) * F.col("size") / F.col("whole") + 0.5)).alias("quota"))
     placed = with_totals(drawn, ["drawn", *keys], [label])
     return placed.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("class"))).where(F.col("pos") <= F.col("quota")).select(df.columns)
+
+
+def feature_summary(df: DataFrame, categories: dict) -> DataFrame:
+    """Number of features and of values by category, for the columns of ``df`` that ``categories`` names."""
+    known = [c for c in df.columns if c in categories]
+    counts = df.agg(F.array(*[F.struct(F.lit(categories[c]).alias("category"), F.count(c).alias("values")) for c in known]).alias("x"))
+    return counts.select(F.explode("x").alias("x")).groupBy("x.category").agg(F.count(F.lit(1)).alias("features"), F.sum("x.values").alias("values"))
+
+
+def attribution_ranking(importances: DataFrame, top: int = 10) -> DataFrame:
+    """The importance table (one row a feature) with the share of the first ``top`` features."""
+    table = importance_table(importances)
+    share = table.where(F.col("rank") <= top).agg(F.coalesce(F.sum("pct"), F.lit(0.0)).alias("top_pct"))
+    return table.crossJoin(F.broadcast(share))

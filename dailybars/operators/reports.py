@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dailybars.operators.filters import passes, passes_all, usable
 from dailybars.plans.blocks import into_blocks
-from dailybars.plans.ordered import exact_quantiles, with_totals
+from dailybars.plans.ordered import exact_quantiles, masked_paths, with_totals
 
 EXIT_ORDER = ["exit_date", "ticker", "entry_date"]
 
@@ -265,6 +265,42 @@ def impact_per_filter(trades: DataFrame, filters) -> DataFrame:
     return wide.select(F.explode(F.array(*[row(i, name) for i, name in enumerate(flags)])).alias("x")).select("x.*")
 
 
+def filter_metrics(trades: DataFrame, filters, position_size: float = 1000.0) -> DataFrame:
+    """Trade metrics before filtering, behind each filter alone and behind all of them, with what remains of the trades.
+
+    Every trade carries one flag a filter; counts are one aggregate, drawdown and open positions one ordered scan each
+    for all filters together (``masked_paths``).
+    """
+    filters = usable(trades.columns, filters)
+    masks = {"before": F.lit(True)} | {f[0]: passes(f) for f in filters} | {"combined": passes_all(trades.columns, filters)}
+    flagged = trades.withColumns({f"f{i}": F.coalesce(m, F.lit(False)) for i, m in enumerate(masks.values())})
+    flags = {n: F.col(f"f{i}") for i, n in enumerate(masks)}
+    r, pnl = F.col("return"), F.col("pnl")
+
+    def basics(name, on):
+        kept = lambda c: F.when(on, c)
+        return F.struct(
+            F.lit(name).alias("filter"), F.count(kept(1)).alias("remaining_trades"), F.count(F.lit(1)).alias("all"), F.avg(kept((r > 0).cast("double"))).alias("win_rate"),
+            F.avg(kept(r)).alias("avg_return"), F.sum(kept(pnl)).alias("total_pnl"), F.stddev_samp(kept(r)).alias("sd"), F.avg(kept(F.col("holding_days"))).alias("avg_holding_days"),
+            F.sum(F.when(on & (pnl > 0), pnl)).alias("won"), F.sum(F.when(on & (pnl < 0), -pnl)).alias("lost"),
+            F.min(kept(F.col("entry_date"))).alias("first_entry"), F.max(kept(F.col("exit_date"))).alias("last_exit"))
+
+    m = flagged.agg(F.array(*[basics(n, f) for n, f in flags.items()]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    falls = masked_paths(flagged, EXIT_ORDER, F.col("pnl"), flags).select(F.col("mask").alias("filter"), F.col("deepest_fall").alias("max_drawdown"))
+    event = lambda day, step, kind: F.struct(F.col(day).alias("at"), F.lit(step).alias("step"), F.lit(kind).alias("kind"))
+    events = flagged.select("ticker", "entry_date", *[f"f{i}" for i in range(len(flags))], F.explode(F.array(event("entry_date", 1.0, 0), event("exit_date", -1.0, 1))).alias("e")).select("*", "e.*")
+    open_ = masked_paths(events, ["at", "ticker", "entry_date", "kind"], F.col("step"), flags).select(F.col("mask").alias("filter"), F.col("peak").alias("open_most"))
+    m = m.join(falls, "filter", "left").join(open_, "filter", "left")
+    days, span = F.col("avg_holding_days"), F.datediff("last_exit", "first_entry")
+    sharpe = F.when((F.col("sd") > 0) & (days > 0), F.col("avg_return") / F.col("sd") * F.sqrt(F.try_divide(F.lit(252.0), days))).otherwise(0.0)
+    stake = F.when(F.col("open_most") > 0, F.col("open_most") * position_size).otherwise(F.lit(position_size))
+    annual = F.when(span > 0, F.pow(1 + F.col("total_pnl") / stake, F.try_divide(F.lit(365.0), span)) - 1).otherwise(0.0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return m.select("filter", "remaining_trades", share(F.col("remaining_trades"), F.col("all"), 100).alias("remaining_pct"),
+                    *map(zero, ("win_rate", "avg_return", "total_pnl", "max_drawdown")), sharpe.alias("sharpe_ratio"),
+                    F.try_divide(F.coalesce("won", F.lit(0.0)), F.col("lost")).alias("profit_factor"), annual.alias("annual_return"))
+
+
 COMPARED = ["n_trades", "win_rate", "avg_return", "total_pnl", "max_drawdown", "sharpe_ratio", "profit_factor"]
 
 

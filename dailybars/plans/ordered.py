@@ -58,6 +58,32 @@ def with_totals(df: DataFrame, keys, group=(), sums=(), highs=()) -> DataFrame:
     return out.drop("b_n", "seg", *[f"b_{n}" for n, _ in [*sums, *highs]])
 
 
+def masked_paths(df: DataFrame, keys, value, masks: dict) -> DataFrame:
+    """Running sums of ``value`` along one order, over the rows of each mask alone: mask, total, peak and deepest fall.
+
+    All masks share one ordered scan.  A segment is summed up, mask by mask, by its sum, its highest and lowest running
+    sum and its deepest fall; two neighbouring segments make one such summary again, so only these are put in order.
+    A fall is measured from the highest sum reached so far, the first row's included.  Masks without rows have nulls.
+    """
+    names = list(masks)
+    flagged = df.withColumns({f"m{i}": F.coalesce(masks[n], F.lit(False)) for i, n in enumerate(names)})
+    seg = segments(flagged, keys)
+    inside = W.partitionBy("seg").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    each = range(len(names))
+    seg = seg.withColumns({f"s{i}": F.sum(F.when(F.col(f"m{i}"), value).otherwise(0.0)).over(inside) for i in each})
+    seg = seg.withColumns({f"h{i}": F.max(F.when(F.col(f"m{i}"), F.col(f"s{i}"))).over(inside) for i in each})
+    own = lambda i, c: F.when(F.col(f"m{i}"), c)
+    brief = seg.groupBy("seg").agg(F.array(*[F.struct(
+        F.lit(n).alias("mask"), F.sum(own(i, value)).alias("sum"), F.max(own(i, F.col(f"s{i}"))).alias("high"), F.min(own(i, F.col(f"s{i}"))).alias("low"),
+        F.max(own(i, F.col(f"h{i}") - F.col(f"s{i}"))).alias("fall")) for i, n in enumerate(names)]).alias("x")).select("seg", F.explode("x").alias("x")).select("seg", "x.*")
+    earlier = W.partitionBy("mask").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)  # one row a segment
+    start = F.coalesce(F.sum("sum").over(earlier), F.lit(0.0))
+    placed = brief.withColumn("start", start).withColumn("reached", F.max(F.col("start") + F.col("high")).over(earlier))
+    return placed.groupBy("mask").agg(
+        F.sum("sum").alias("total"), F.max(F.col("start") + F.col("high")).alias("peak"),
+        F.max(F.greatest("fall", F.col("reached") - (F.col("start") + F.col("low")))).alias("deepest_fall"))
+
+
 def exact_quantiles(df: DataFrame, column: str, shares: dict, group=(), unique=()) -> DataFrame:
     """Linear-interpolation quantiles: one row per group, one column per name in ``shares``.
 
