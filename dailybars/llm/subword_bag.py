@@ -114,13 +114,13 @@ def fit_bags(held: list, labels: list, prior: float, steps: int = STEPS, width:
     for cell, _ in held:
         held_by[cell] += 1
     common = held_by >= LEAST
-    held = [(c[common[c]], n[common[c]].astype(np.float32)) for c, n in held]
+    held = [(c, n) if common[c].all() else (c[common[c]], n[common[c]]) for c, n in held]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.001, (cells, width)).astype(np.float32)
     top, bias = rng.normal(0, 1, (width, 2)).astype(np.float32), np.zeros(2, np.float32)
     done, per_epoch = 0, -(-len(y) // BATCH)
     steps = per_epoch * -(-steps // per_epoch)
-    many, used = np.array([len(c) for c, _ in held]), np.array([n.sum() for _, n in held])
+    many, used = np.array([len(c) for c, _ in held]), np.array([n.sum() for _, n in held], np.float32)
     for _ in range(steps // per_epoch):
         for rows in np.array_split(rng.permutation(len(y)), per_epoch):
             now = rate * (1 - done / steps)
@@ -129,6 +129,7 @@ def fit_bags(held: list, labels: list, prior: float, steps: int = STEPS, width:
             if not len(rows):
                 continue
             flat, times = (np.concatenate([held[i][k] for i in rows]) for k in (0, 1))
+            times = times.astype(np.float32)
             edges = np.cumsum(many[rows]) - many[rows]
             mean = np.add.reduceat(vectors[flat] * times[:, None], edges, axis=0) / used[rows, None]
             scaled = mean * SCALE
@@ -221,9 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     codec, held_by = pa.Codec("zstd"), np.zeros(CELLS, np.int64)
     for r in held.select("cells").coalesce(TASKS).mapInArrow(_held_by, "held binary").toLocalIterator():
         held_by += np.frombuffer(codec.decompress(r["held"], CELLS * 4), np.int32)
-    rows = held.mapInArrow(_common_bags(held_by >= LEAST), "toxic int, place string, n int, bag binary").orderBy("place").collect()
-    packed = [np.frombuffer(codec.decompress(r["bag"], r["n"] * 8), np.int32) for r in rows]
-    return fit_bags([(np.cumsum(x[:len(x) // 2], dtype=np.int32), x[len(x) // 2:]) for x in packed], [r["toxic"] for r in rows], (ones or 0) / total if total else 0.0)
+    rows = held.mapInArrow(_common_bags(held_by >= LEAST), "toxic int, place string, n int, bag binary").orderBy("place")
+    kept, y = [], []
+    for r in rows.toLocalIterator():  # one document after the other
+        x = np.frombuffer(codec.decompress(r["bag"], r["n"] * 8), np.int32)
+        kept.append((np.cumsum(x[:r["n"]], dtype=np.int32), x[r["n"]:].copy()))
+        y.append(r["toxic"])
+    return fit_bags(kept, y, (ones or 0) / total if total else 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
