@@ -66,6 +66,7 @@ def binned(df: DataFrame, features, bins: int = 64) -> DataFrame:
     edges = [[-float("inf"), *sorted(set(q)), float("inf")] for q in df.approxQuantile(list(features), shares, 0.001)]
     made = [f"bin_{f}" for f in features]
     cut = Bucketizer(inputCols=list(features), outputCols=made, splitsArray=edges, handleInvalid="keep").transform(df)
+    cut = cut.withColumns({m: F.col(m) + 0.0 for m in made})  # numbers in order, not categories
     return VectorAssembler(inputCols=made, outputCol="features").transform(cut).drop(*made)
 
 

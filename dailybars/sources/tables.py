@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dailybars.plans.ordered import with_totals
@@ -17,20 +19,47 @@ IMPORTANCE = "feature string, importance double, rank int, pct double, cumulativ
 PRICE_COLUMNS = ["open", "high", "low", "close", "volume", "adj close", "adj_close"]
 
 
+def first_lines(spark: SparkSession, folder: str, together: int = 16) -> list[tuple[str, str]]:
+    """Name and first line of every file under a folder, by the cluster's file system: a listing and a few bytes a file."""
+    java, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = java.org.apache.hadoop
+    root = hadoop.fs.Path(folder)
+    files, codecs = root.getFileSystem(conf), hadoop.io.compress.CompressionCodecFactory(conf)
+    listed, found = files.listFiles(root, True), []
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName()[0] not in "._":
+            found.append(path)
+
+    def first(path):
+        stream, codec = files.open(path), codecs.getCodec(path)
+        reader = java.java.io.BufferedReader(java.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            return path.toString(), reader.readLine() or ""
+        finally:
+            reader.close()
+
+    with ThreadPool(together) as pool:
+        return pool.map(first, found)
+
+
 def read_raw(spark: SparkSession, folder: str, schema: str = RAW) -> DataFrame:
     """One CSV (or folder of CSVs) per ticker; columns by the name in each file's header, the ticker from the path.
 
     Names are lower-cased and may stand in any order; columns of ``schema`` that a file lacks are null, others are
-    kept.  Files are read together by header, of which there are a few; a file without a date column has no rows.
+    kept.  Headers come from the first line of each file; files are then read once, together by header, of which there
+    are a few.  A file without a date column has no rows.
     """
-    lines = spark.read.text(folder, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
-    named = lines.where(F.lower("header").rlike(r'(^|,)\s*"?date"?\s*(,|$)'))
+    by_header = {}
+    for file, header in first_lines(spark, folder):
+        columns = tuple(c.strip().strip('"').strip().lower() for c in header.split(","))
+        if "date" in columns:
+            by_header.setdefault(columns, []).append(file)
     wanted = [f.name for f in T.StructType.fromDDL(schema)]
     out = spark.createDataFrame([], schema + ", file string")
-    for row in named.groupBy("header").agg(F.collect_set("file").alias("files")).collect():  # names of files, as in any listing
-        columns = [c.strip().strip('"').strip().lower() for c in row["header"].split(",")]
+    for columns, files in sorted(by_header.items()):
         fields = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        df = spark.read.csv(row["files"], header=True, schema=fields, enforceSchema=True)
+        df = spark.read.csv(files, header=True, schema=fields, enforceSchema=True)
         out = out.unionByName(df.withColumn("file", F.input_file_name()), allowMissingColumns=True)
     ticker = F.regexp_extract("file", r"([^/=]+)(\.csv|/part-[^/]*)$", 1).alias("ticker")
     return out.select(*wanted, *[c for c in out.columns if c not in [*wanted, "file", "ticker"]], ticker)

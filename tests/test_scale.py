@@ -95,3 +95,17 @@ def test_all_features_share_their_exchanges(spark, walk):
     out = build_features(bars, list(V3), market=market, sector_bars=market.withColumn("ticker", F.lit("XLK")), sectors=sectors)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") <= 15
+
+
+def test_headers_come_from_first_lines(spark, tmp_path):
+    import gzip
+    (tmp_path / "A.csv").write_text("Date,Close,Volume\n2020-01-02,1.5,7\ndate,9,9\n")
+    (tmp_path / "deep").mkdir()
+    with gzip.open(tmp_path / "deep" / "B.csv.gz", "wt") as f:
+        f.write('"volume","date","extra"\n5,2020-01-03,x\n')
+    (tmp_path / "C.csv").write_text("day,close\n2020-01-02,1\n")
+    (tmp_path / "D.csv").write_text("")
+    (tmp_path / "_SUCCESS").write_text("date,close\n2020-01-02,1\n")
+    got = {tuple(r) for r in tables.read_raw(spark, str(tmp_path)).select("date", "close", "volume", "extra").collect()}
+    assert got == {("2020-01-02", "1.5", "7", None), ("date", "9", "9", None), ("2020-01-03", None, "5", "x")}
+    assert len(tables.first_lines(spark, str(tmp_path))) == 4
