@@ -44,6 +44,7 @@ LEAST = 6
 SCALE = 300.0
 SEED = 7
 TASKS = 16
+SLICE = 1 << 19
 
 
 def subwords(body, offsets, sizes=SIZES, cells=CELLS):
@@ -148,24 +149,22 @@ def fit_bags(held: list, labels: list, prior: float, steps: int = STEPS, width:
     return Model(np.where(common, (vectors @ (top[:, 1] - top[:, 0])).astype(float) * SCALE, np.nan), moved)
 
 
-def _scores(model, text, name):
-    def scores(tables):
-        for batch in tables:
-            body, offsets = batches.utf8(batch.column(text))
-            out = []
-            for row, end, part, edges in batches.slices(body, offsets, 3 << 18):
-                found, of = subwords(part, edges, cells=len(model.weights))
-                out.append(model.score(found, of, end - row))
-            score = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
+def _scorer(model: Model):
+    """A UDF over the text column alone; the other columns stay in the JVM."""
+    def scores(text: pa.Array) -> pa.Array:
+        body, offsets = batches.utf8(text)
+        out = []
+        for row, end, part, edges in batches.slices(body, offsets, SLICE):
+            found, of = subwords(part, edges, cells=len(model.weights))
+            out.append(model.score(found, of, end - row))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return scores
+    return F.arrow_udf(scores, T.DoubleType())
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` with their score as ``name`` (a column of that name is replaced)."""
-    rest = docs.drop(name)
-    return rest.mapInArrow(_scores(model, rest.columns.index("text"), name), T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.withColumn(name, _scorer(model)("text"))
 
 
 def held_out(doc_id, fold: int = 5):
