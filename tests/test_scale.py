@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dailybars.features.build import build_features
+from dailybars.features.build import V3, build_features
 from dailybars.operators.reports import preset_comparison, trade_metrics
 from dailybars.operators.scoring import threshold_sweep
 from dailybars.plans.blocks import number_rows
