@@ -216,7 +216,7 @@ def _answer(depth, upper):
                 p = np.where(seen, share * here + (1 - share) * p, here)
                 seen = n0 + n1 > 0
             score += np.log10(p)
-        return pa.table({"key": keys.view(np.int64), "value": score.astype(np.float32).astype(float)})  # half the bits, to shuffle less
+        return pa.table({"key": keys.view(np.int64), "value": score})
 
     return answer
 
