@@ -454,25 +454,42 @@ class Sheet:
 
     # ---- stages ---------------------------------------------------------
     def stages(self, outputs):
-        """Ordered (passed, [(name, sql)], [(name, counts)]) steps with only the columns still needed."""
-        steps = {}
-        for sql, (name, level, deps) in self.windows.items():
-            steps.setdefault((level, 0), []).append((name, sql, deps))
-        for sql, (name, level, temp, deps) in self.temps.items():
-            steps.setdefault((level, temp), []).append((name, sql, deps))
+        """Ordered (passed, [(name, sql)], [(name, counts)]) steps with only the columns still needed.
+
+        Counts that no window reads come behind all windows, with what is made of them: they need the rows in order, but
+        Spark, which does not see that counts keep it, would deal them out again for a window.
+        """
+        items = {name: ("window", (level, 0), sql, deps) for sql, (name, level, deps) in self.windows.items()}
+        items |= {name: ("temp", (level, temp), sql, deps) for sql, (name, level, temp, deps) in self.temps.items()}
         for key, (name, level, deps) in self.counts.items():
-            steps.setdefault((level, 0), []).append((name, key, deps))
+            items[name] = ("counts", (level, 0), key, deps)
+        owner = {f"{name}{k}": name for name, _, _ in self.counts.values() for k in "ba"}
+
+        def closure(names):
+            found, open_ = set(), [owner.get(n, n) for n in names]
+            while open_:
+                name = open_.pop()
+                if name in items and name not in found:
+                    found.add(name)
+                    open_.extend(owner.get(n, n) for n in items[name][3])
+            return found
+
         live = frozenset().union(*(t.deps for t in outputs.values()))
+        used = closure(live)
+        fed = closure(d for n in used if items[n][0] == "window" for d in items[n][3])
+        late = {n for n in used - fed if items[n][0] == "counts"}
+        behind = 1 + max((key[0] for _, key, _, _ in items.values()), default=0)
+        steps = {}
+        for name in sorted(used, key=lambda n: int(n[1:]) if n[1:].isdigit() else 0):
+            kind, (level, temp), made, deps = items[name]
+            after = name in late or (kind == "temp" and name not in fed and closure(deps) & late)
+            steps.setdefault((level + behind * bool(after), temp), []).append((name, made, deps))
         plan = []
         for key in sorted(steps, reverse=True):
-            needed = lambda name, made: name in live if isinstance(made, str) else {f"{name}b", f"{name}a"} & live
-            items = [(n, s, d) for n, s, d in steps[key] if needed(n, s)]
-            if not items:
-                continue
-            plain = [(n, s) for n, s, _ in items if isinstance(s, str)]
-            counts = [(n, s) for n, s, _ in items if not isinstance(s, str)]
+            plain = [(n, s) for n, s, _ in steps[key] if isinstance(s, str)]
+            counts = [(n, s) for n, s, _ in steps[key] if not isinstance(s, str)]
             passed = sorted(live - {n for n, _ in plain})
             plan.append((passed, plain, counts))
             made = {n for n, _ in plain} | {f"{n}{k}" for n, _ in counts for k in "ba"}
-            live = (live - made).union(*(d for _, _, d in items))
+            live = (live - made).union(*(d for _, _, d in steps[key]))
         return list(reversed(plan)), sorted(live)
