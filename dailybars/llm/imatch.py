@@ -81,10 +81,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     """Fingerprints of every document and of its edited text, and their likeness."""
     known = F.broadcast(lexicon(docs, low, high, most))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("doc_id") / CHUNK), F.lit((1 << 63) - 1)).alias("chunk"))
-    heads = rows.groupBy("chunk").agg(F.min("doc_id").alias("head"))
-    first = (rows.withColumnRenamed("chunk", "next").join(heads.withColumnRenamed("chunk", "next"), "next").filter(F.col("doc_id").eqNullSafe(F.col("head")))
-             .groupBy("next").agg(F.min("text").alias("text")))
-    guests = written(_following(heads.select("chunk")).join(first, "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "chunk", F.lit(True).alias("guest")), "guests")
+    heads = written(rows.groupBy(F.col("chunk").alias("next")).agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")), "heads")  # only heads are shuffled
+    guests = written(_following(heads.select(F.col("next").alias("chunk"))).join(heads, "next").select(F.lit(None).cast("long").alias("doc_id"), "text", "chunk", F.lit(True).alias("guest")), "guests")
+    guests = guests.filter("chunk is not null")  # as Spark adds for one side of the join below; so both sides are alike and share one exchange of the texts
     place = Window.partitionBy("chunk").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
     half = F.floor(F.length("text") / 2).cast("int")
     placed = (rows.withColumn("guest", F.lit(False)).unionByName(guests)
@@ -100,9 +99,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most: in
     made = _together(whole.select("chunk", "place", "doc_id", "n_chars", "edited_sha256", filled("own", "text").alias("own"), filled("changed", "edited").alias("changed")), "prints")
     starts = made.filter("place = 1").select(F.col("chunk").alias("next"), F.col("own").alias("over"))
     ends = _following(made.select("chunk").distinct()).join(starts, "next").select("chunk", "over")
-    last = made.groupBy("chunk").agg(F.max("place").alias("place")).join(ends, "chunk")
-    follow = F.coalesce("over", F.lead("own").over(Window.partitionBy("chunk").orderBy("place")))
-    return (made.join(last, ["chunk", "place"], "left").withColumn("follow", follow)
+    follow = F.coalesce(F.lead("own").over(Window.partitionBy("chunk").orderBy("place")), "over")
+    return (made.join(ends, "chunk", "left").withColumn("follow", follow)
             .select("doc_id", "n_chars", "edited_sha256", F.array_join("own", " ").alias("fingerprint"), F.array_join("changed", " ").alias("edited_fingerprint"),
                     likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("follow")).alias("near_next")))
 

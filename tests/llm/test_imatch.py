@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -44,3 +45,15 @@ def test_fingerprints(spark):
 def test_bounded_lexicon(spark):
     docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(90)], "doc_id long, text string")
     assert imatch.lexicon(docs, 0.0, 1.0, most=9).count() <= 9
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 9} b{i % 40} c{i}") for i in range(2000)], "doc_id long, text string").repartition(3)
+    kept, together = [], imatch._together
+    monkeypatch.setattr(imatch, "_together", lambda df, name: kept.append(df) or together(df, name))
+    got = imatch.fingerprints(docs, low=0.001, high=0.5)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept[0].collect()
+    assert "ReusedExchange" in plan(kept[0])  # the texts
+    assert len(got.collect()) == 2000
+    assert not re.search(r"hashpartitioning\(chunk#\d+L?, place#", plan(got))  # the fingerprints lie by chunk
