@@ -41,7 +41,8 @@ SMALL = 400
 BLOCK = 400
 AGAIN = 3
 CHUNK_ROWS = 2000
-PAIRS = 100_000
+PAIRS = 20_000
+SLICE = 1 << 19
 TOP = float(1 << 64)
 
 
@@ -81,9 +82,9 @@ def _describe(k, similarity, runs):
     powers = batches.Powers()
 
     def describe(tables):
-        for batch in tables:
+        for batch in batches.releasing(tables):
             body, offsets = batches.utf8(batch.column("text"))
-            for row, end, part, edges in batches.slices(body, offsets, 2 << 20):
+            for row, end, part, edges in batches.slices(body, offsets, SLICE):
                 rows = end - row
                 gram, of = sets_of(part, edges, powers, k)
                 size = np.bincount(of, minlength=rows)
@@ -109,9 +110,9 @@ def _members(k):
     powers = batches.Powers()
 
     def members(tables):
-        for batch in tables:
+        for batch in batches.releasing(tables):
             body, offsets = batches.utf8(batch.column("text"))
-            for row, end, part, edges in batches.slices(body, offsets, 2 << 20):
+            for row, end, part, edges in batches.slices(body, offsets, SLICE):
                 gram, of = sets_of(part, edges, powers, k)
                 yield pa.RecordBatch.from_arrays([batch.column("sid").slice(row, end - row), _lists(gram, of, end - row)], names=["sid", "grams"])
 
@@ -122,7 +123,7 @@ def _split(similarity, again):
     """Picks inside a bucket: seeds come from the bucket, so all its sets pick alike."""
 
     def split(tables):
-        for batch in tables:
+        for batch in batches.releasing(tables):
             sid, bucket = batch.column("sid"), batch.column("bucket").to_numpy().view(np.uint64)
             lists = batch.column("grams")
             edge = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
@@ -192,6 +193,11 @@ def _meet(similarity, verify):
     """Sets that have a pair of their own in a bucket; with ``verify``, the links found there."""
 
     def meet(table: pa.Table) -> pa.Table:
+        found = met(table)
+        batches.release()
+        return found
+
+    def met(table):
         at = table.schema.get_field_index("leaves")
         table = table.set_column(at, "leaves", table["leaves"].cast(pa.list_(pa.int64()))).combine_chunks()
         bucket, one, two, own, size = (table[c].to_numpy() for c in ("bucket", "one", "two", "own", "size"))
