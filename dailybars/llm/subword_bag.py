@@ -157,6 +157,7 @@ def _scorer(model: Model):
         for row, end, part, edges in batches.slices(body, offsets, SLICE):
             found, of = subwords(part, edges, cells=len(model.weights))
             out.append(model.score(found, of, end - row))
+        batches.release()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return F.arrow_udf(scores, T.DoubleType())
@@ -173,9 +174,9 @@ def held_out(doc_id, fold: int = 5):
 
 def _sampled_bags(tables):
     """Bags of the texts of a batch as bytes; texts stay on the executors."""
-    for batch in tables:
+    for batch in batches.releasing(tables):
         body, offsets = batches.utf8(batch.column("text"))
-        held = [b for _, _, part, edges in batches.slices(body, offsets, 1 << 20) for b in bags(part, edges)]
+        held = [b for _, _, part, edges in batches.slices(body, offsets, SLICE) for b in bags(part, edges)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("toxic"), batch.column("place"), *(pa.array([b[k].tobytes() for b in held], pa.binary()) for k in (0, 1))],
             names=["toxic", "place", "cells", "times"])
@@ -184,7 +185,7 @@ def _sampled_bags(tables):
 def _held_by(tables):
     """How many documents of a task hold each cell, as one compressed array."""
     total = np.zeros(CELLS, np.int32)
-    for batch in tables:
+    for batch in batches.releasing(tables):
         for cells in batch.column("cells"):
             total[np.frombuffer(cells.as_buffer(), np.int32)] += 1
     yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd").compress(total.tobytes()).to_pybytes()], pa.binary())], names=["held"])
@@ -194,7 +195,7 @@ def _common_bags(common):
     """Bags without rare cells, compressed: steps from cell to cell, then counts."""
     def keep(tables):
         codec = pa.Codec("zstd")
-        for batch in tables:
+        for batch in batches.releasing(tables):
             made = []
             for cells, times in zip(batch.column("cells"), batch.column("times")):
                 cells, times = np.frombuffer(cells.as_buffer(), np.int32), np.frombuffer(times.as_buffer(), np.int32)
