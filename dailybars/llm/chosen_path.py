@@ -14,7 +14,9 @@ about ``BLOCK`` sets, so no task holds it whole.
 Equal sets are one from the start, with their number of copies.  Buckets of one set
 are dropped.  A pair is looked at only in the smallest-numbered bucket that both
 share, and a set is sent (from its text, with all members) only to buckets where
-it has such a pair.  Tasks compare sets exactly and return, for each set, the
+it has such a pair.  Texts are shuffled only if a bitmap of hashes says that their
+set may be wanted; a hash that meets another's lets one more text through, and the
+join with the wanted ids decides.  Tasks compare sets exactly and return, for each set, the
 number of linked documents and the smallest linked set; no pair leaves a task.
 Classes are connected components over these (large-star and small-star rounds).
 
@@ -43,6 +45,7 @@ AGAIN = 3
 CHUNK_ROWS = 2000
 PAIRS = 20_000
 SLICE = 1 << 19
+CELLS = 1 << 26
 TOP = float(1 << 64)
 
 
@@ -106,7 +109,7 @@ def _describe(k, similarity, runs):
 
 
 def _members(k):
-    """The set of each text."""
+    """The set of each text in place of it, the first column; the others stay."""
     powers = batches.Powers()
 
     def members(tables):
@@ -114,7 +117,7 @@ def _members(k):
             body, offsets = batches.utf8(batch.column("text"))
             for row, end, part, edges in batches.slices(body, offsets, SLICE):
                 gram, of = sets_of(part, edges, powers, k)
-                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(row, end - row), _lists(gram, of, end - row)], names=["sid", "grams"])
+                yield batch.slice(row, end - row).set_column(0, "grams", _lists(gram, of, end - row))
 
     return members
 
@@ -271,10 +274,23 @@ def text_id(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text for each wanted ``text_id``."""
-    texts = docs.select(text_id().alias("text_id"), "text").groupBy("text_id").agg(F.first("text").alias("text"))
-    return texts.join(wanted, "text_id")
+def _among(rows: DataFrame, wanted: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Rows whose ``text_id`` has its hash in a bitmap (of ``cells`` bits at most) of the wanted ones: all of these, few others."""
+    cell = F.pmod(F.xxhash64("text_id"), F.lit(cells))
+    bits = wanted.groupBy(F.bitmap_bucket_number(cell).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("_bits"))
+    at = F.bitmap_bit_position(cell).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(bits), F.bitmap_bucket_number(cell) == F.col("_part"))
+    return held.filter(F.call_function("getbit", byte, at % 8) == 1).select(rows.columns)
+
+
+def _members_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Each wanted ``text_id`` as the set of its text (``grams``), with the other columns of ``wanted``."""
+    wanted = written(wanted, "wanted")
+    texts = _among(docs.select(text_id().alias("text_id"), "text"), wanted).groupBy("text_id").agg(F.first("text").alias("text"))
+    rows = texts.join(wanted, "text_id").select("text", *[c for c in wanted.columns if c != "text_id"])
+    schema = ", ".join(["grams array<long>", *[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]]])
+    return rows.mapInArrow(_members(k), schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,9 +331,8 @@ def classes(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, recall:
         lows = large.join(sets.select("sid", F.array_min("picks").alias("low")), "sid").groupBy("bucket", "low").agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"))
         alike = written(lows.groupBy("bucket").agg((F.max("same") > F.max("n") / 2).alias("alike")).filter("alike").select("bucket"), "alike")
         stay, large = large.join(alike, "bucket", "left_semi").select(large.columns), large.join(alike, "bucket", "left_anti")
-        wanted = sets.join(large.select("sid").distinct(), "sid").select("sid", "text_id")
-        members = _texts(docs, wanted).select("sid", "text").mapInArrow(_members(k), "sid binary, grams array<long>")
-        again_ = members.join(large.select("sid", "bucket"), "sid").mapInArrow(_split(similarity, again), "sid binary, bucket long").distinct()
+        wanted = sets.select("sid", "text_id").join(large.groupBy("sid").agg(F.collect_list("bucket").alias("places")), "sid")  # a few picks for each run
+        again_ = _members_of(docs, wanted, k).select("sid", F.explode("places").alias("bucket"), "grams").mapInArrow(_split(similarity, again), "sid binary, bucket long").distinct()
         leaves = written(leaves.filter(F.col("n") <= small).unionByName(stay).unionByName(met(again_)), "leaves")
     lists = leaves.groupBy("sid").agg(F.array_sort(F.collect_list("bucket")).alias("leaves"))  # a few picks for each run
     blocks = F.when(F.col("n") <= small, F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("int")
@@ -332,10 +347,10 @@ def classes(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, recall:
 
     leaves_rows = leaves.count()
     paired = written(chunked(placed, 4 * CHUNK_ROWS).applyInArrow(_meet(similarity, False), unit), "paired")
-    wanted = sets.join(paired.select("sid").distinct(), "sid").select("sid", "text_id")
-    members = _texts(docs, wanted).select("sid", "text").mapInArrow(_members(k), "sid binary, grams array<long>")
+    places = paired.groupBy("sid").agg(F.collect_list(F.struct("bucket", "one", "two", "own")).alias("places"), *[F.first(c).alias(c) for c in ("size", "copies", "leaves")])
+    members = _members_of(docs, sets.select("sid", "text_id").join(places, "sid"), k)
     leaves_rows = paired.count()
-    linked = written(chunked(paired.join(members, "sid"), CHUNK_ROWS).applyInArrow(_meet(similarity, True), "sid binary, root binary, links long"), "linked")
+    linked = written(chunked(members.select("sid", F.inline("places"), "size", "copies", "leaves", "grams"), CHUNK_ROWS).applyInArrow(_meet(similarity, True), "sid binary, root binary, links long"), "linked")
     roots = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.select("sid", "copies").join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dailybars.llm import chosen_path
 
@@ -66,3 +67,11 @@ def test_one_of_each_class(spark):
     want = [r for r in expected(rows) if r[0] == r[1] or not shingles(dict(rows)[r[0]])]
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r[0] for r in want})
     assert chosen_path.join(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cells", [1 << 26, 7])
+def test_only_texts_that_may_be_wanted_are_shuffled(spark, cells):
+    rows = spark.range(400).select(chosen_path.text_id(F.col("id").cast("string")).alias("text_id"), "id")
+    kept = {r["id"] for r in chosen_path._among(rows, rows.filter("id % 10 = 0").select("text_id"), cells).collect()}
+    assert kept >= set(range(0, 400, 10)) and (cells == 7 or len(kept) == 40)
+    assert chosen_path._among(rows, rows.limit(0).select("text_id")).count() == 0
