@@ -287,7 +287,8 @@ def _among(rows: DataFrame, wanted: DataFrame, cells: int = CELLS) -> DataFrame:
 def _members_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Each wanted ``text_id`` as the set of its text (``grams``), with the other columns of ``wanted``."""
     wanted = written(wanted, "wanted")
-    texts = _among(docs.select(text_id().alias("text_id"), "text"), wanted).groupBy("text_id").agg(F.first("text").alias("text"))
+    cells = min(CELLS, max(1 << 15, 16 * wanted.count()))
+    texts = _among(docs.select(text_id().alias("text_id"), "text"), wanted, cells).groupBy("text_id").agg(F.first("text").alias("text"))
     rows = texts.join(wanted, "text_id").select("text", *[c for c in wanted.columns if c != "text_id"])
     schema = ", ".join(["grams array<long>", *[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]]])
     return rows.mapInArrow(_members(k), schema)

@@ -25,6 +25,7 @@ from dailybars.llm import batches
 
 NEAR = 60
 LEAST = 0.6
+ROWS = 500
 
 # Kinds in their order, start scores and context words.
 KINDS = ("email", "ip", "card", "phone", "iban", "national")
@@ -169,8 +170,10 @@ def report(docs: DataFrame) -> DataFrame:
 def _redact(position):
     def run(tables):
         for batch in batches.releasing(tables):
-            texts = pa.array([None if t is None else redact(t) for t in batch.column(position).to_pylist()], batch.schema.field(position).type)
-            yield batch.set_column(position, batch.schema.field(position), texts)
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                texts = pa.array([None if t is None else redact(t) for t in part.column(position).to_pylist()], batch.schema.field(position).type)
+                yield part.set_column(position, batch.schema.field(position), texts)
 
     return run
 

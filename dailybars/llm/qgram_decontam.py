@@ -186,11 +186,11 @@ def _without(items: Items, text: int):
     def without(tables):
         for batch in batches.releasing(tables):
             body, offsets = batches.utf8(batch.column(text))
-            keep = np.ones(len(batch), bool)
-            for row, _, part, edges in batches.slices(body, offsets, 1 << 20):
+            for row, end, part, edges in batches.slices(body, offsets, 1 << 18):
+                keep = np.ones(end - row, bool)
                 for r, *_ in items.find(*plain(part, edges), powers):
-                    keep[row + r] = False
-            yield batch.filter(pa.array(keep))
+                    keep[r] = False
+                yield batch.slice(row, end - row).filter(pa.array(keep))
 
     return without
 

@@ -44,7 +44,7 @@ LEAST = 6
 SCALE = 300.0
 SEED = 7
 TASKS = 16
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 def subwords(body, offsets, sizes=SIZES, cells=CELLS):

@@ -8,7 +8,7 @@ import psutil
 import pyarrow as pa
 import pytest
 
-from dailybars.llm import batches, chosen_path
+from dailybars.llm import batches, chosen_path, personal_data, qgram_decontam, subword_bag
 
 
 def own_mb():
@@ -53,3 +53,25 @@ def test_pairs_of_a_block_of_near_copies():
     found = []
     assert peak_mb(lambda: found.append(chosen_path._first_common(i, j, np.arange(len(i)) % leaves, rank, edge, known, leaves + 1))) < 80
     assert (found[0] == (np.arange(len(i)) % leaves == 0)).all()
+
+
+def large_batch():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(10**5, 10**6, 300))) for _ in range(2000)]  # 4 MB
+    return pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+
+
+def test_scores_of_a_large_batch():
+    model = subword_bag.Model(np.zeros(subword_bag.CELLS), 0.0)
+    scores, batch = subword_bag._scorer(model).func, large_batch()
+    assert peak_mb(lambda: scores(batch.column("text"))) < 25
+
+
+def test_redaction_and_decontamination_go_on_in_parts():
+    batch, item = large_batch(), " ".join(map(str, range(50)))
+    hit = batch.set_column(1, "text", pa.array([item, *batch.column("text").to_pylist()[1:]]))
+    parts = []
+    assert peak_mb(lambda: parts.extend(qgram_decontam._without(qgram_decontam.Items([1], [item]), 1)([hit]))) < 25
+    assert len(parts) > 1 and pa.Table.from_batches(parts)["doc_id"].to_pylist() == list(range(1, 2000))
+    assert all(len(p) <= 500 for p in personal_data._redact(1)([batch]))
+    assert sum(len(p) for p in personal_data._redact(1)([batch])) == 2000
