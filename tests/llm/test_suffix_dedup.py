@@ -1,11 +1,12 @@
 import hashlib
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from dailybars.llm import suffix_dedup, suffix_sort
+from dailybars.llm import batches, suffix_dedup, suffix_sort
 
 
 def expected(rows, length):
@@ -34,6 +35,35 @@ def test_suffix_array(letters, entries):
         suffix_sort.BYTES = 300
 
 
+def test_names_are_sorted_without_a_step_per_letter():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 200, 2000)
+    text = np.concatenate([passage, rng.integers(1, 200, 1000), passage, passage[500:], [0]])
+    expected_order = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert suffix_sort.suffix_array(text).tolist() == expected_order
+    assert suffix_sort.suffix_array(np.append(text[:-1] + 1000, 0)).tolist() == expected_order  # more letters than ``BYTES``
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        suffix_sort.suffix_array(np.append(np.tile(np.arange(1, 2001), 20), 0))  # 40,000 letters
+    finally:
+        sys.settrace(None)
+    assert lines < 10_000
+
+
+def test_hashes_of_windows_are_those_of_spans():
+    body = np.frombuffer("windows of a text".encode(), np.uint8)
+    powers, at = batches.Powers(), np.arange(len(body) - 4)
+    prefix = powers.prefix(body)
+    assert (powers.windows(prefix, 5) == powers.spans(prefix, at, at + 5)).all()
+
+
 @pytest.mark.parametrize("shared", [suffix_dedup.SHARED, 1])
 def test_repeats(spark, shared):
     rng = np.random.default_rng(5)
