@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,23 @@ def test_held_out_accuracy():
     cells, doc = subword_bag.subwords(*batches.utf8(pa.array(held)))
     score = model.score(cells, doc, 200)
     assert np.mean((score >= 0.5) == np.arange(200) % 2) > 0.9
+
+
+def test_batches_of_a_stage_are_small(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 400) as text", "0L as n_chars")  # 6 MB
+
+    def sizes(tables):
+        for batch in tables:
+            yield batch.set_column(0, "doc_id", pa.array([batch.nbytes] * len(batch), pa.int64()))
+
+    monkeypatch.setattr(personal_data, "redacted", lambda docs: docs.mapInArrow(sizes, docs.schema))
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        assert cp.privacy(spark, docs, "").agg(F.max("doc_id")).first()[0] < 3 << 20
+        spark.conf.set(key, str(1 << 20))  # a session's own value stays
+        assert cp.privacy(spark, docs, "").agg(F.max("doc_id")).first()[0] < 3 << 19
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.set(key, before)
